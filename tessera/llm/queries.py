@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, mixing, neardup, quality, sharding, suffixes, topk, toxicity
+from . import decontamination, licenses, mixing, neardup, pii, quality, sharding, suffixes, topk, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 13)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_minhash": op6_minhash,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
