@@ -15,6 +15,7 @@ import heapq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import numbered_in_order, written
@@ -114,11 +115,17 @@ def first_words(text: Column, n: Column) -> Column:
 def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of the mix: each document as often as it is taken in whole, and once more its first words
     where a part of it is taken (n_chars counts that part). Columns as in ``docs``."""
-    decided = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "_crc", "size", "taken").dropDuplicates()
+    key = ["_id", "_from", "_crc"]
+    each = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "_crc", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    decided = written(each.groupBy(*key).agg(F.first("_size").alias("_size"), F.sort_array(F.collect_list("_taken")).alias("_takes")), "mixing-decided")
+    repeated = bool(decided.filter(F.size("_takes") > 1).head(1))
     keyed = docs.withColumn("_crc32", F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)))
-    joined = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_crc32") == F.col("_crc"))).filter("taken > 0")
-    part = F.expr("int(taken - size * (taken div size))")
-    copies = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(-1), F.expr("int(taken div size)")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
+    joined = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_crc32") == F.col("_crc")))
+    # rows of equal id, source and text share out what was taken of them
+    nth = F.row_number().over(W.partitionBy(*key).orderBy("text")) if repeated else F.lit(1)
+    joined = joined.withColumn("_nth", nth).withColumn("_taken", F.get("_takes", F.col("_nth") - 1)).filter("_taken > 0")
+    part = F.expr("int(_taken - _size * (_taken div _size))")
+    copies = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(-1), F.expr("int(_taken div _size)")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
     cut = copies.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.greatest(F.col("_words"), F.lit(1)))))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -186,20 +186,20 @@ def score_text(text: bytes, model: dict) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def score(docs: DataFrame, model: dict, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: dict, threshold: float = 0.3, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The columns ``keep`` (doc_id unless said otherwise) with score and predicted, one row a document,
     from the text alone and all of it; null and empty texts have no windows and get the score of no
     evidence. No shuffle; the model is a few hundred kilobytes by its parameters."""
     keep = ["doc_id"] if keep is None else keep
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double", "predicted int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{names[0]} double", f"{names[1]} int"])
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             s = [score_text(b"" if t is None else t.encode(), model) for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=[*keep, *names])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(scored, schema)
 
@@ -213,3 +213,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for all documents, learnt from the rows that aren't held out."""
     model = fit(docs, labels.filter(~held_out()))
     return score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The documents that score below ``threshold``, columns as given."""
+    model = fit(docs, labels.filter(~held_out()))
+    return score(docs, model, threshold, docs.columns, ("_score", "_toxic")).filter("_toxic = 0").drop("_score", "_toxic")
