@@ -353,8 +353,8 @@ def _replay(spark, d):
 
 
 def _returns(spark, d):
-    """Daily market returns, cut to a tenth so that growth stays in range."""
-    return backtest.market(panels.prices(spark, d)).withColumn("ret", F.col("ret") / 10)
+    """Daily market returns, cut to a hundredth so that growth stays in range."""
+    return backtest.market(panels.prices(spark, d)).withColumn("ret", F.col("ret") / 100)
 
 
 @query
@@ -370,7 +370,7 @@ def performance_metrics(spark, d):
 @query
 def regime_metrics(spark, d):
     r = _returns(spark, d)
-    return backtest.regimes(r, r, 0.10, -0.10)
+    return backtest.regimes(r, r, 0.06, 0.02)
 
 
 @query
