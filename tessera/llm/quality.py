@@ -158,7 +158,7 @@ def score(measured: DataFrame, model: dict | None, threshold: float = 0.3) -> Da
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slope, offset = model["calibration"]
         for b in batches:
-            x = np.asarray(b.column(1).values if b.column(1).offset == 0 else b.column(1).flatten()).reshape(len(b), -1)
+            x = np.asarray(b.column(1).flatten()).reshape(len(b), len(FEATURES))
             p = 1 / (1 + np.exp(-np.clip(difference(x, model) * slope + offset, -30, 30))) if len(b) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
