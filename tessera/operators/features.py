@@ -83,3 +83,46 @@ def zscores(df: DataFrame, columns: list[str], limit: float = 3.0, tail: float =
 def zscore_columns(df: DataFrame, columns: list[str], limit: float = 3.0, tail: float = 0.01, keys: tuple[str, ...] = ("date", "ticker")) -> DataFrame:
     """``zscores`` with a column for each feature again."""
     return zscores(df, columns, limit, tail, keys).groupBy(*keys).pivot("feature", columns).agg(F.first("z"))
+
+
+def bands(prices: DataFrame, window: int = 20, width: float = 2.0, population: bool = False) -> DataFrame:
+    """date, ticker, pctb: the place of the price between its bands, by the sample or population deviation."""
+    p = F.col("adj_close")
+    spread = rolling(p, window, F.stddev_pop if population else F.stddev_samp)
+    return prices.select("date", "ticker", F.try_divide(p - (rolling(p, window, F.avg) - width * spread), unless_tiny(2 * width * spread)).alias("pctb"))
+
+
+def wilder_rsi(prices: DataFrame, window: int = 14) -> DataFrame:
+    """date, ticker, rsi by Wilder's smoothing: the first value is a simple mean of ``window`` changes, each
+    later one keeps (window - 1) / window of the one before. In closed form: the seed and the changes since,
+    weighted by age; blocks aren't needed as the fold runs over an entity's own ordered history."""
+    p = F.col("adj_close")
+    history_of = W.partitionBy("ticker").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    base = prices.select("date", "ticker", (p - lagged(p, 1)).alias("_d"))
+    listed = F.collect_list("_d").over(history_of)
+    keep = (window - 1) / window
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("g"), F.lit(0.0).alias("l"))
+
+    def step(s, d):
+        up, down = F.greatest(d, F.lit(0.0)), F.greatest(-d, F.lit(0.0))
+        seeded = s["n"] >= window
+        mean = lambda old, x: F.when(seeded, old * keep + x / window).otherwise(old + x / window)
+        return F.struct((s["n"] + 1).alias("n"), mean(s["g"], up).alias("g"), mean(s["l"], down).alias("l"))
+
+    smoothed = base.withColumn("_s", F.aggregate(listed, start, step))
+    total = F.col("_s.g") + F.col("_s.l")
+    return smoothed.select("date", "ticker", F.when(F.col("_s.n") >= window, F.try_divide(100 * F.col("_s.g"), unless_tiny(total))).alias("rsi"))
+
+
+def exposures(tech: DataFrame, prices: DataFrame) -> DataFrame:
+    """date, ticker, beta (the short volatility as a proxy) and log_market_cap (of the traded value, 0 where
+    it is unknown)."""
+    size = F.coalesce(F.log1p(F.col("adj_close") * F.col("volume")), F.lit(0.0))
+    return tech.select("date", "ticker", F.col("vol_20d").alias("beta")).join(prices.select("date", "ticker", size.alias("log_market_cap")), ["date", "ticker"], "left")
+
+
+def series_panel(long: DataFrame, series: list[str], date: str = "date", name: str = "series", value: str = "value") -> DataFrame:
+    """A column for each series by date, each carried forward. Dates are few, so one window orders them."""
+    wide = long.groupBy(date).pivot(name, series).agg(F.avg(value))
+    order = W.partitionBy(F.lit("all")).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
+    return wide.select(date, *[F.last(s, ignorenulls=True).over(order).alias(s) for s in series])

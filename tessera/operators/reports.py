@@ -85,3 +85,33 @@ def probability_scores(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFra
     auc = values.withColumn("_below", below).agg(F.try_divide(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)), F.sum("_pos") * F.sum("_neg")).alias("auc"))
     one = base.agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"), (F.avg(y) * (1 - F.avg(y))).alias("climatology"), (-F.avg(F.col(y) * F.log(clipped) + (1 - F.col(y)) * F.log(1 - clipped))).alias("logloss"))
     return one.crossJoin(ece).crossJoin(auc)  # one row each
+
+
+def against_benchmark(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(date, wealth, benchmark_wealth): growth of 1 of both; a day that the benchmark lacks counts as 0."""
+    w = W.partitionBy(F.lit("all")).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    both = returns.select("date", "ret").join(benchmark.select("date", F.col("ret").alias("_b")), "date", "left").withColumn("_b", F.coalesce("_b", F.lit(0.0)))
+    return both.select("date", F.exp(F.sum(F.log1p("ret")).over(w)).alias("wealth"), F.exp(F.sum(F.log1p("_b")).over(w)).alias("benchmark_wealth"))
+
+
+def rebalance_listing(weights: DataFrame) -> DataFrame:
+    """(date, ticker, direction, weight_pct) of every name of each rebalance; one of weight 0 counts as Short."""
+    return weights.select("date", "ticker", F.when(F.col("weight") > 0, "Long").otherwise("Short").alias("direction"), (F.abs("weight") * 100).alias("weight_pct"))
+
+
+def principal_components(df: DataFrame, features: list[str]) -> DataFrame:
+    """(component, eigenvalue, share, cumulative, kaiser) of the correlation matrix over rows without nulls."""
+    import numpy as np
+
+    known = df.select(*features).dropna()
+    row = known.agg(*[F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i < j]).first()
+    m = np.eye(len(features))
+    for i in range(len(features)):
+        for j in range(i + 1, len(features)):
+            m[i, j] = m[j, i] = row[f"{i}_{j}"] or 0.0
+    values = sorted((float(v) for v in np.linalg.eigvalsh(m)), reverse=True)
+    total, so_far, out = sum(values), 0.0, []
+    for i, v in enumerate(values):
+        so_far += v / total
+        out.append((i, v, v / total, so_far, v > 1))
+    return df.sparkSession.createDataFrame(out, "component int, eigenvalue double, share double, cumulative double, kaiser boolean")

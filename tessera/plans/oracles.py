@@ -281,6 +281,14 @@ ORACLES: dict[str, str] = {
         (SELECT sum(n * abs(a - b)) / sum(n) AS ece FROM (SELECT count(*) AS n, avg(p) AS a, avg(label) AS b FROM (SELECT round(prob, 3) AS p, label FROM bet) GROUP BY least(floor(p * 10), 9))),
         (SELECT (sum(k) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / (CAST(count(*) FILTER (label = 1) AS DOUBLE) * count(*) FILTER (label = 0)) AS auc FROM (
           SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS k FROM (SELECT round(prob, 3) AS p, label FROM bet)))""", "bet"),
+    "bollinger_population": sql("""SELECT date, ticker, CASE WHEN count(*) OVER w = 20 AND 4 * stddev_pop(p) OVER w >= 1e-12 THEN round((p - (avg(p) OVER w - 2 * stddev_pop(p) OVER w)) / (4 * stddev_pop(p) OVER w), 6) + 0.0 END AS pctb
+        FROM price WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)""", "price"),
+    "rsi_wilder": sql("""SELECT a.date, a.ticker, CASE WHEN a.i >= 14 THEN round(100 * sum(x.k * greatest(b.delta, 0)) / nullif(sum(x.k * abs(b.delta)), 0), 6) + 0.0 END AS rsi
+        FROM step a LEFT JOIN step b ON a.ticker = b.ticker AND b.i BETWEEN 1 AND a.i LEFT JOIN LATERAL (SELECT pow(13.0::DOUBLE / 14, a.i - greatest(b.i, 14)) AS k) x ON true WHERE a.date < DATE '1997-01-01' GROUP BY a.date, a.ticker, a.i""", "step"),
+    "beta_size_exposures": sql("SELECT date, ticker, round(vol_20d, 6) + 0.0 AS beta, round(ln(1 + p * v), 6) + 0.0 AS log_market_cap FROM feat", "feat"),
+    "id_lookup": "SELECT upper(n_name) AS ticker, CASE WHEN n_nationkey % 6 <> 0 THEN lpad(CAST(n_nationkey AS VARCHAR), 10, '0') END AS id FROM nation",
+    "equity_vs_benchmark": sql("SELECT date, round(exp(sum(ln(1 + ret)) OVER w), 6) + 0.0 AS wealth, round(exp(sum(ln(1 + CASE WHEN month(date) <> 3 THEN ret / 2 ELSE 0 END)) OVER w), 6) + 0.0 AS benchmark_wealth FROM mkt WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)", "mkt"),
+    "rebalance_listing": sql("SELECT date, ticker, CASE WHEN w > 0 THEN 'Long' ELSE 'Short' END AS direction, round(w * 100, 6) + 0.0 AS weight_pct FROM hold", "hold"),
     "stratified_sample": "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey) LIMIT 50",
     "union_intersect": "SELECT k, 'both' AS part FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'any' FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)",
     "flagship_decile_portfolio": sql("""SELECT date, ticker, sector, round(score, 6) + 0.0 AS score, round(weight, 6) + 0.0 AS weight FROM (SELECT e.*, x.weight FROM eq2 e JOIN (""" + _side(_CONVICTION, None, 0.05, 0.3).replace("FROM eq)", "FROM eq2)") + """) x USING (date, ticker)) WHERE weight <> 0""", "feat", "price"),
@@ -295,6 +303,9 @@ _flag = ORACLES["flagship_decile_portfolio"]
 _cut = _flag.index("\nSELECT date, ticker, sector, round(score")
 ORACLES["flagship_decile_portfolio"] = _flag[:_cut] + _EQ2 + _flag[_cut:]
 
+_SERIES = ["click", "error", "purchase", "signup", "view"]
+ORACLES["macro_panel"] = "SELECT date, " + ", ".join(f"round(last_value({c} IGNORE NULLS) OVER w, 6) + 0.0 AS {c}" for c in _SERIES) + " FROM (SELECT CAST(ts AS DATE) AS date, " + ", ".join(f"avg(value) FILTER (event_type = '{c}') AS {c}" for c in _SERIES) + " FROM events WHERE event_id % 5 <> 0 GROUP BY 1) WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)"
+
 for _name, _columns in {
     "log_returns_multi": ["ret_21d", "ret_63d", "ret_126d"], "skip_month_momentum": ["ret_252d"], "realized_vol": ["vol_20d", "vol_60d"], "trailing_drawdown": ["mdd_126d"], "garman_klass": ["gk_vol_20d"], "volume_zscore": ["volume_zscore"],
     "amihud": ["amihud"], "obv": ["obv", "obv_zscore"], "ma_gap": ["ma_gap_50d", "ma_gap_200d"], "rsi_simple": ["rsi_14"], "bollinger_pctb": ["bb_pctb"],

@@ -527,6 +527,53 @@ def union_intersect(spark, d):
     return a.intersect(b).withColumn("part", F.lit("both")).union(a.union(b).distinct().withColumn("part", F.lit("any")))
 
 
+@query
+def bollinger_population(spark, d):
+    return features.bands(panels.prices(spark, d), population=True)
+
+
+@query
+def rsi_wilder(spark, d):
+    return features.wilder_rsi(panels.prices(spark, d).filter(F.col("date") < F.lit("1997-01-01").cast("date")))
+
+
+@query
+def beta_size_exposures(spark, d):
+    p = panels.prices(spark, d)
+    return features.exposures(features.technical(p, CFG), p)
+
+
+@query
+def macro_panel(spark, d):
+    e = panels.table(spark, d, "events").filter("event_id % 5 <> 0").select(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("series"), "value")
+    return features.series_panel(e, ["click", "error", "purchase", "signup", "view"])
+
+
+@query
+def id_lookup(spark, d):
+    """Names with their padded id, and the names that have none."""
+    names = panels.table(spark, d, "nation").select(F.lower("n_name").alias("ticker"), F.col("n_nationkey").alias("id"))
+    ids = universe.padded_ids(names.filter("id % 6 <> 0"))
+    left = names.select(F.upper("ticker").alias("ticker"))
+    return left.join(ids, "ticker").union(left.join(ids, "ticker", "left_anti").withColumn("id", F.lit(None).cast("string")))
+
+
+@query
+def equity_vs_benchmark(spark, d):
+    r = _returns(spark, d)
+    return reports.against_benchmark(r, r.filter(F.month("date") != 3).withColumn("ret", F.col("ret") / 2))
+
+
+@query
+def rebalance_listing(spark, d):
+    return reports.rebalance_listing(_weights(spark, d))
+
+
+@query
+def pca_study(spark, d):
+    return reports.principal_components(_technical(spark, d, REPORTED), REPORTED)
+
+
 # --- models (no SQL counterpart) ---
 
 

@@ -235,3 +235,18 @@ def test_fractional_difference_weights(spark):
 def test_settings_from_a_file(tmp_path):
     (tmp_path / "c.yaml").write_text("bets:\n  cap: 0.5\n")
     assert load_config(str(tmp_path / "c.yaml"))["bets"] == CFG["bets"] | {"cap": 0.5}
+
+
+def test_cached_stage_follows_the_settings(spark, tmp_path):
+    from tessera.sources.stages import cached_stage, to_csv
+
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    counts = [cached_stage(spark, str(tmp_path), "s", cfg, make).count() for cfg in ({"a": 1}, {"a": 1}, {"a": 2})]
+    assert counts == [1, 1, 2]
+    to_csv(spark.range(3), f"{tmp_path}/out")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out").count() == 3
