@@ -42,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, a table of short values that is read from disk, to be broadcast if it has at most ``rows``
+    rows by count; beyond that it is joined like any table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is; null as the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, written
+from .common import alnum_words, small, written
 from .words import ascii_lower, lead, pieces
 
 
@@ -37,7 +37,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 13, rare: int = 3) ->
     ``size`` words of the rarest one. Documents are told apart by id and a hash of the text."""
     found = windows(items, size)
     by_window = written(found.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
-    terms = by_window.select(F.explode("words").alias("term")).distinct().withColumn("lower_term", F.lower("term"))
+    terms = small(written(by_window.select(F.explode("words").alias("term")).distinct().withColumn("lower_term", F.lower("term")), "terms"))
     spread = _spread(docs).select(F.lower("word").alias("lower_word"), "word")
     counts = spread.join(terms, F.col("lower_word") == F.col("lower_term")).filter(ascii_lower(F.col("word")) == F.col("term")).groupBy("term").agg(F.count("*").alias("n"))
     counts = written(counts, "term-counts")
@@ -49,7 +49,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 13, rare: int = 3) ->
     # the pieces around a posting: ``size`` - 1 on either side
     first = F.greatest(F.lit(0), F.col("at") - (size - 1))
     near = F.slice("parts", first + 1, F.col("at") - first + size)
-    postings = _spread(docs).join(index.select("anchor", "lower_anchor"), F.lower("word") == F.col("lower_anchor"))
+    postings = _spread(docs).join(small(written(index.select("anchor", "lower_anchor"), "anchors")), F.lower("word") == F.col("lower_anchor"))
     postings = postings.filter(ascii_lower(F.col("word")) == F.col("anchor"))
     postings = written(postings.select("doc_id", "text_hash", "anchor", (F.col("at") - lead(F.col("parts"))).alias("pos"), (F.col("at") - first).alias("left"), near.alias("around")), "postings")
     met = postings.withColumn("around", F.transform("around", ascii_lower)).join(index.drop("lower_anchor"), "anchor")
