@@ -42,6 +42,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """``df`` dealt out by ``key`` and checkpointed into the shared folder, in a way that later joins and
+    cogroups by ``key`` find it dealt out already, so these rows move once. (Spark knows the partitioning
+    of a checkpoint only if the plan that made it wasn't adaptive.)"""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    before = spark.conf.get("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(parts, key).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df``, a table of short values that is read from disk, to be broadcast if it has at most ``rows``
     rows by count; beyond that it is joined like any table."""

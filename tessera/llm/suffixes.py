@@ -5,7 +5,8 @@ suffix is sorted: each string of ``length`` bytes has one anchor, the leftmost l
 grams, which depends on the string alone, so equal strings have equal anchors. Consecutive strings of one
 anchor form a span (about 66 bytes, one for each 18 bytes of text).
 
-1. Texts are packed into compressed blocks; all later steps work on blocks.
+1. Texts are packed into compressed blocks, which are dealt out and checkpointed; all later steps work on
+   blocks and bring what they need to them. Whole copies of a document of a smaller id are found first.
 2. Hashes of anchors are gathered, once for each block; those that only one document has are done with.
 3. Spans of the other anchors meet by gram. Equal spans collapse; the unlike ones, as suffixes from the anchor
    on, form an enhanced suffix array. A stack scan of its common-prefix lengths gives the intervals of the
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, written
+from .common import as_bytes, held, mix64, written
 
 GRAM = 16
 _NONE = np.int64(2**63 - 1)  # stands for a null id, which is smaller than none
@@ -264,54 +265,81 @@ def _collapse(entries) -> dict[tuple[bytes, int], list]:
     return unlike
 
 
+def _copies(packed: DataFrame, length: int) -> DataFrame:
+    """(block, copies): which texts of a block, of ``length`` bytes or more, are a whole copy of a document of
+    a smaller id. They go as a whole, and whatever they hold a smaller document has, so they take no part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, offsets, data = unpack(blob)
+                raw = data.tobytes()
+                some = [i for i in range(len(ids)) if offsets[i + 1] - offsets[i] >= length]
+                keys = [hashlib.blake2b(raw[offsets[i] : offsets[i + 1]], digest_size=16).digest() for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([int(ids[i]) for i in some], pa.int64()), pa.array(keys, pa.binary())], names=["block", "i", "id", "key"])
+
+    each = written(packed.select("block", "blob").mapInArrow(run, "block long, i int, id long, key binary"), "suffix-keys")
+    first = each.groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("most > least")
+    return each.join(first, F.col("key") == F.col("_key")).filter("id > least").groupBy("block").agg(F.sort_array(F.collect_set("i")).alias("copies"))
+
+
+def _less(found: tuple, known: pd.DataFrame) -> tuple:
+    """The spans without those of the texts that ``known`` lists as copies."""
+    lists = known["copies"].dropna() if len(known) else []
+    if not len(lists):
+        return found
+    keep = ~np.isin(found[0], np.concatenate([np.asarray(c) for c in lists]))
+    return tuple(x[keep] for x in found)
+
+
 def removable(docs: DataFrame, length: int = 50, block_bytes: int = 1_000_000, part_bytes: int = 24_000_000) -> tuple[DataFrame, DataFrame]:
     """(blocks, found): the packed texts and, for each block, blobs of the byte ranges (text, start, end) that
     also occur in a document of a smaller id. See ``deduplicated`` for what to do with them."""
-    spark = docs.sparkSession
-    packed = blocks(docs, block_bytes)
-    total = written(packed, "suffix-blocks")
-    n_bytes = total.agg(F.sum("size")).first()[0] or 0
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(8, int(n_bytes // part_bytes))
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for block, blob in zip(b["block"], b["blob"], strict=True):
-                _, offsets, data = unpack(blob)
-                owner, _, _, _, value = spans(data, offsets, length)
-                order = np.lexsort((owner, value))
-                value, owner = value[order], owner[order]
-                new = np.ones(len(value), bool)
-                new[1:] = value[1:] != value[:-1]
-                group = np.cumsum(new) - 1
-                twice = np.zeros(int(new.sum()), bool)
-                twice[group[1:][(~new[1:]) & (owner[1:] != owner[:-1])]] = True
-                value = value[new]
-                part = (value % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((~twice, part))
-                value, part, twice = value[order], part[order], twice[order]
-                cuts = np.searchsorted(part, np.arange(parts + 1))
-                rows = [(i, block, int(twice[x:y].sum()), _six(value[x:y])) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-                yield pd.DataFrame(rows, columns=["part", "block", "twice", "blob"])
-
-    hashes = total.select("block", "blob").mapInPandas(gather, "part int, block long, twice int, blob binary")
+    total = held(blocks(docs, block_bytes), "block", parts)
+    copies = written(_copies(total, length), "suffix-copies")
+
+    def gather(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        for block, blob in mine[["block", "blob"]].drop_duplicates("block").itertuples(index=False):
+            _, offsets, data = unpack(blob)
+            owner, _, _, _, value = _less(spans(data, offsets, length), known)
+            order = np.lexsort((owner, value))
+            value, owner = value[order], owner[order]
+            new = np.ones(len(value), bool)
+            new[1:] = value[1:] != value[:-1]
+            group = np.cumsum(new) - 1
+            twice = np.zeros(int(new.sum()), bool)
+            twice[group[1:][(~new[1:]) & (owner[1:] != owner[:-1])]] = True
+            value = value[new]
+            part = (value % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((~twice, part))
+            value, part, twice = value[order], part[order], twice[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            rows += [(i, block, int(twice[x:y].sum()), _six(value[x:y])) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+        return pd.DataFrame(rows, columns=["part", "block", "twice", "blob"])
+
+    by_block = total.select("block", "blob").groupBy("block")
+    hashes = by_block.cogroup(copies.groupBy("block")).applyInPandas(gather, "part int, block long, twice int, blob binary")
     shared = written(hashes.groupBy("part").applyInPandas(_shared_anchors, "block long, blob binary"), "suffix-shared")
 
     def extract(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         rows = []
+        gone = known["copies"].dropna()
         if len(known):
-            wanted = np.unique(np.concatenate([_of_six(b) for b in known["blob"]]))
+            wanted = np.unique(np.concatenate([_of_six(b) for b in known["blob"].dropna()] or [np.zeros(0, np.uint64)]))
             for block, blob in mine[["block", "blob"]].drop_duplicates("block").itertuples(index=False):
                 ids, offsets, data = unpack(blob)
-                owner, anchor, first, last, value = spans(data, offsets, length)
-                at = np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)
-                keep = np.flatnonzero(wanted[at] == value)
+                owner, anchor, first, last, value = _less(spans(data, offsets, length), known)
+                keep = np.flatnonzero(np.isin(value, wanted))
                 raw, base = data.tobytes(), offsets[owner[keep]]
                 part = (value[keep] % np.uint64(parts)).tolist()
                 doc = ids[owner[keep]].tolist()
                 columns = zip(first[keep].tolist(), (last[keep] + length).tolist(), anchor[keep].tolist(), doc, owner[keep].tolist(), base.tolist(), part, strict=True)
                 whole = _collapse((raw[a:z], p - a, d, [(o, p - s, q)]) for a, z, p, d, o, s, q in columns)
                 by: dict[int, list] = {}
-                local = []
+                local = [(i, 0, int(offsets[i + 1] - offsets[i])) for c in gone for i in c]
                 for (span, left), (d, own, others) in whole.items():
                     by.setdefault(own[0][2], []).append((span, left, d, [(o, p) for o, p, _ in own]))
                     local.extend((o, p - left, p - left + len(span)) for o, p, _ in others)
@@ -342,7 +370,8 @@ def removable(docs: DataFrame, length: int = 50, block_bytes: int = 1_000_000, p
         # a span in other documents than its smallest goes there as a whole, so those need no more
         return pd.DataFrame([(b, _intervals_blob(merged(np.array(x, np.int64)).tolist())) for b, x in found.items()], columns=["block", "blob"])
 
-    drawn = total.select("block", "blob").groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(extract, "part int, block long, blob binary")
+    known = shared.select("block", "blob", F.lit(None).cast("array<int>").alias("copies")).union(copies.select("block", F.lit(None).cast("binary"), "copies"))
+    drawn = by_block.cogroup(known.groupBy("block")).applyInPandas(extract, "part int, block long, blob binary")
     found = written(drawn.groupBy("part").applyInPandas(resolve, "block long, blob binary"), "suffix-found")
     return total, found
 
