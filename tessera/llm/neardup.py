@@ -31,6 +31,8 @@ from .components import connected_components
 
 BANDS, ROWS = 25, 5
 BATCH = 25
+#: Bytes of text in one go: numpy needs about eighty times as much for a moment.
+CHUNK = 1_000_000
 _U32 = np.uint64(32)
 
 
@@ -73,7 +75,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
         for b in batches:
             texts = as_bytes(b.column(1).to_pylist())
             counts, keys, sigs = [], [], []
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHUNK):
                 part = texts[lo:hi]
                 hashes, owner = space_words(part)
                 values, offsets = shingles(hashes, owner, len(part), size)
@@ -91,8 +93,14 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes, owner = space_words(texts)
-    return shingles(hashes, owner, len(texts), size)
+    """The shingles of all texts as of ``shingles``, made a megabyte at a time."""
+    values, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, hi in chunks(texts, CHUNK):
+        hashes, owner = space_words(texts[lo:hi])
+        some, offsets = shingles(hashes, owner, hi - lo, size)
+        values.append(some)
+        counts.append(np.diff(offsets))
+    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
 class _Union:
@@ -160,7 +168,7 @@ def link(sig: np.ndarray, values: np.ndarray, offsets: np.ndarray, left: np.ndar
     return edges
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, tile_bytes: int = 32_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, tile_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document.
 
     Documents link if 100 * common shingles >= percent * all shingles of both; a component is the documents
