@@ -1,10 +1,12 @@
 """Information-theoretic sanitisation: personal data by pattern, and terms that reveal it by co-occurrence.
 
 1. Patterns find the protected entities (e-mail addresses, IP addresses, card and phone numbers).
-2. The words around an entity are its context. Over the corpus, for each entity e and context term t,
-   n(e, t), n(e) and n(t) count documents; the share of the entity's information that the term discloses is
-   log2(p(e | t) / p(e)) / -log2 p(e), which is 1 where the term never occurs without the entity.
-   Support counts unlike contexts, so copies of one text don't make a term a clue.
+2. The words of the documents that an entity occurs in are its context. Over the corpus, for each entity e and
+   context term t, n(e, t), n(e) and n(t) count documents; the share of the entity's information that the term
+   discloses is log2(p(e | t) / p(e)) / -log2 p(e), which is 1 where p(e | t) is 1.
+   p(e | t) is n(e, t) / n(t), drawn to p(e) as if by ``prior`` contexts, against the unlike contexts (by their
+   sets of terms) that the two were seen in: copies of one text weigh as one, and an entity seen once can have
+   a revealing term where the corpus is large enough to tell that the two meeting is no chance.
 3. A term at or above the threshold for some entity is a span of kind ``term`` wherever it occurs, and is
    generalised like the entities themselves.
 """
@@ -71,23 +73,35 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def contexts(text: str, found: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, list[str]]]:
-    """(entity, hash of its context, terms of the context) for each entity; terms are lower-cased words of
-    four or more letters within ``reach`` characters, outside all entities."""
-    out = []
+def context(text: str, found: list[tuple[str, int, int]]) -> tuple[list[str], str, list[str]]:
+    """(entities, hash of the terms, terms) of a text; terms are the lower-cased words of four or more letters
+    outside all entities, each once and sorted."""
+    names = set()
     for kind, a, z in found:
-        lo, hi = max(0, a - reach), min(len(text), z + reach)
-        terms = [m.group().lower() for m in _TERM.finditer(text, lo, hi) if not any(x < m.end() and m.start() < y for _, x, y in found)]
-        value = text[a:z].lower() if kind == "email" else re.sub("[^0-9.]" if kind == "ip" else "[^0-9]", "", text[a:z])
-        out.append((f"{kind}:{value}", hashlib.blake2b(" ".join(terms).encode(), digest_size=8).hexdigest(), sorted(set(terms))))
-    return out
-
-
-def detect(docs: DataFrame, reach: int = 60) -> DataFrame:
-    """(doc_id, text_hash, spans, contexts): the entities of every whole text; no shuffle."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, spans array<struct<kind:string,start:int,end:int>>, contexts array<struct<entity:string,context:string,terms:array<string>>>"
+        names.add(f"{kind}:" + (text[a:z].lower() if kind == "email" else re.sub("[^0-9.]" if kind == "ip" else "[^0-9]", "", text[a:z])))
+    # entities overlap, so their union is taken; words come in order, so one walk over both is enough
+    merged: list[list[int]] = []
+    for a, z in sorted((a, z) for _, a, z in found):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], z)
+        else:
+            merged.append([a, z])
+    terms, i = set(), 0
+    for m in _TERM.finditer(text):
+        while i < len(merged) and merged[i][1] <= m.start():
+            i += 1
+        if i == len(merged) or m.end() <= merged[i][0]:
+            terms.add(m.group().lower())
+    ordered = sorted(terms)
+    return sorted(names), hashlib.blake2b(" ".join(ordered).encode(), digest_size=8).hexdigest(), ordered
+
+
+def detect(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, spans, entities, context, terms): the entities of every whole text; no shuffle. The
+    last three are null where there is none."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, spans array<struct<kind:string,start:int,end:int>>, entities array<string>, context string, terms array<string>"
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    context_type = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string()), ("terms", pa.list_(pa.string()))]))
+    words = pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,8 +109,9 @@ def detect(docs: DataFrame, reach: int = 60) -> DataFrame:
             for t in b.column(2).to_pylist():
                 found = entities(t or "")
                 spans.append([{"kind": k, "start": a, "end": z} for k, a, z in found])
-                around.append([{"entity": e, "context": c, "terms": w} for e, c, w in contexts(t, found, reach)] if found else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span_type), pa.array(around, context_type)], names=["doc_id", "text_hash", "spans", "contexts"])
+                around.append(context(t, found) if found else (None, None, None))
+            columns = [pa.array([x[i] for x in around], kind) for i, kind in enumerate((words, pa.string(), words))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span_type), *columns], names=["doc_id", "text_hash", "spans", "entities", "context", "terms"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
@@ -113,41 +128,48 @@ def _in_slices(terms: DataFrame, size: int) -> Iterator[list[str]]:
         last = part[-1]
 
 
-def _frequencies(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, n_t): in how many documents each of a slice of terms occurs."""
-    wanted = frozenset(terms)
+def _frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """(term, n_t): in how many documents each term occurs, outside of entities or within; a task holds the
+    counts of at most ``most`` terms and those of one document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, int] = {}
         for b in batches:
             for t in b["text"]:
-                for w in wanted.intersection(m.lower() for m in set(_TERM.findall(t or ""))):
+                for w in {m.lower() for m in set(_TERM.findall(t or ""))}:
                     counts[w] = counts.get(w, 0) + 1
+                if len(counts) > most:
+                    yield pd.DataFrame(list(counts.items()), columns=["term", "n"])
+                    counts = {}
         yield pd.DataFrame(list(counts.items()), columns=["term", "n"])
 
     return docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def revealing_terms(docs: DataFrame, detected: DataFrame, threshold: float = 0.9, support: int = 3, slice_size: int = 200_000) -> DataFrame:
-    """(term, disclosure): terms that disclose at least ``threshold`` of some entity's information, seen with
-    it in ``support`` unlike contexts or more. Counts cover all documents; the terms that need a count are
-    taken in slices, one pass over the texts for each."""
-    each = detected.select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.entity", "c.context", "c.terms")
+def revealing_terms(docs: DataFrame, detected: DataFrame, threshold: float = 0.9, prior: float = 1.0) -> DataFrame:
+    """(term, disclosure): terms that disclose at least ``threshold`` of some entity's information. Entities of
+    the same documents have the same counts, so one stands for all. A term's documents are first counted among
+    those with entities, which bounds what it can disclose; the few pairs left need the count over all."""
     total = detected.count()
-    by_entity = each.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = each.select("entity", "context", "doc_id", "text_hash", F.explode("terms").alias("term"))
-    supported = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select(F.col("entity").alias("_e"), F.col("term").alias("_t"))
-    supported = written(supported, "pii-supported")
-    counted = pairs.join(supported, (F.col("entity") == F.col("_e")) & (F.col("term") == F.col("_t"))).select("entity", "term", "doc_id", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    counted = written(counted.join(by_entity, "entity"), "pii-pairs")
-    spark = docs.sparkSession
-    found = spark.createDataFrame([], "term string, disclosure double")
-    for part in _in_slices(counted.select("term").distinct(), slice_size):
-        p_e = F.col("n_e") / total
-        share = F.log2(F.col("n_et") / F.col("n_t") / p_e) / -F.log2(p_e)
-        scored = counted.join(_frequencies(docs, part), "term").filter(F.col("n_e") < total).groupBy("term").agg(F.max(share).alias("disclosure"))
-        found = found.union(scored.filter(F.col("disclosure") >= threshold))
-    return written(found, "pii-terms")
+    held = detected.filter(F.col("entities").isNotNull()).select(F.xxhash64("doc_id", "text_hash").alias("doc"), "doc_id", "text_hash", "entities", "context", "terms")
+    # rows of equal id and text are rows of their own in every count
+    held = written(held.groupBy("doc_id", "text_hash", "doc").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"), F.first("context").alias("context"), F.first("terms").alias("terms")), "pii-held")
+    each = held.select("doc", "rows", F.explode("entities").alias("entity"))
+    grouped = each.groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count("*").alias("n"), F.sum(F.col("doc").cast("decimal(38,0)")).alias("h"))
+    groups = grouped.groupBy("n_e", "n", "h").agg(F.min("entity").alias("entity")).filter(F.col("n_e") < total).select("entity", "n_e")
+    of_doc = each.join(groups, "entity").select("doc", "entity", "n_e")
+    terms = held.select("doc", "rows", "context", F.explode("terms").alias("term"))
+    within = terms.groupBy("term").agg(F.sum("rows").alias("n_w"))
+    p_e = F.col("n_e") / total
+
+    def disclosed(n_t):
+        p = (F.col("c") * F.col("n_et") / F.col(n_t) + prior * p_e) / (F.col("c") + prior)
+        return F.log2(p / p_e) / -F.log2(p_e)
+
+    pairs = terms.join(of_doc, "doc").groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.sum("rows").alias("n_et"), F.countDistinct("context").alias("c"))
+    counted = written(pairs.join(within, "term").filter(disclosed("n_w") >= threshold).select("entity", "term", "n_e", "n_et", "c"), "pii-pairs")
+    scored = counted.join(_frequencies(docs), "term").groupBy("term").agg(F.max(disclosed("n_t")).alias("disclosure"))
+    return written(scored.filter(F.col("disclosure") >= threshold), "pii-terms")
 
 
 def _term_spans(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -165,11 +187,11 @@ def _term_spans(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def all_spans(docs: DataFrame, threshold: float = 0.9, support: int = 3, slice_size: int = 200_000) -> DataFrame:
+def all_spans(docs: DataFrame, threshold: float = 0.9, prior: float = 1.0, slice_size: int = 200_000) -> DataFrame:
     """(doc_id, text_hash, base, spans) of every row: the entities, and these with the revealing terms that
     lie outside of them. Nulls are empty texts; rows of equal id and text have equal spans."""
     detected = written(detect(docs), "pii-entities")
-    terms = revealing_terms(docs, detected, threshold, support, slice_size)
+    terms = revealing_terms(docs, detected, threshold, prior)
     found = None
     for part in _in_slices(terms.select("term"), slice_size):
         spans = _term_spans(docs, part).dropDuplicates(["doc_id", "text_hash"])
@@ -201,7 +223,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.size("_spans") > 0, folded).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def disclosure(n_et: int, n_e: int, n_t: int, total: int) -> float:
+def disclosure(n_et: int, n_e: int, n_t: int, total: int, contexts: int, prior: float = 1.0) -> float:
     """The measure of ``revealing_terms`` for one pair."""
-    p = n_e / total
-    return math.log2(n_et / n_t / p) / -math.log2(p)
+    p_e = n_e / total
+    p = (contexts * n_et / n_t + prior * p_e) / (contexts + prior)
+    return math.log2(p / p_e) / -math.log2(p_e)

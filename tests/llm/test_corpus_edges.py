@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for each operator."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -205,6 +206,28 @@ def test_terms_that_reveal_an_entity(make):
     assert sum(r["n_term"] for r in pii.digest(copies).collect()) == 0
 
 
+def test_a_far_term_reveals_an_entity_seen_once(make):
+    """Against brute force: whole documents are the context, and one meeting is enough in a corpus this large."""
+    far = "plain mail text " * 20
+    rows = [(0, f"zorgax {far}bob@x.com"), (1, f"Bob@x.com, {far}ann@x.com quux"), (2, f"{far}ann@x.com wombat"), (3, f"quux wombat {far}"), (4, "nobody"), (5, f"grault {far} 10.0.0.1"), (6, f"grault {far} 10.0.0.1")]
+    rows += [(i, "plain mail text") for i in range(10, 4000)]
+    docs = make(rows)
+    of = [(pii.context(t, pii.entities(t))) for _, t in rows]
+    words = [set(re.findall(r"[^\W\d_]{4,}", t.lower())) for _, t in rows]
+    want = {}
+    for e in {e for names, _, _ in of for e in names}:
+        having = [i for i, x in enumerate(of) if e in x[0]]
+        for t in {t for i in having for t in of[i][2]}:
+            both = [i for i in having if t in of[i][2]]
+            share = pii.disclosure(len(both), len(having), sum(t in w for w in words), len(rows), len({of[i][1] for i in both}))
+            if share >= 0.9:
+                want[t] = max(share, want.get(t, 0))
+    got = {r["term"]: r["disclosure"] for r in pii.revealing_terms(docs, pii.detect(docs)).collect()}
+    assert got == pytest.approx(want) and set(got) == {"zorgax", "grault"}
+    found = {r["doc_id"]: r for r in pii.digest(docs).filter("n_term > 0").collect()}
+    assert found[0]["spans"].endswith("term:0:6") and found[0]["n_term"] == 1 and set(found) == {0, 5, 6}
+
+
 def test_long_runs_are_scanned_in_linear_time():
     for text in ("a" * 200_000, "a" * 100_000 + "@", "1" * 100_000, "1." * 50_000, "+1" + " " * 100_000, "@a" * 50_000):
         pii.entities(text)
