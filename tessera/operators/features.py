@@ -92,26 +92,29 @@ def bands(prices: DataFrame, window: int = 20, width: float = 2.0, population: b
     return prices.select("date", "ticker", F.try_divide(p - (rolling(p, window, F.avg) - width * spread), unless_tiny(2 * width * spread)).alias("pctb"))
 
 
-def wilder_rsi(prices: DataFrame, window: int = 14) -> DataFrame:
+def wilder_rsi(prices: DataFrame, window: int = 14, block: int = 512) -> DataFrame:
     """date, ticker, rsi by Wilder's smoothing: the first value is a simple mean of ``window`` changes, each
-    later one keeps (window - 1) / window of the one before. In closed form: the seed and the changes since,
-    weighted by age; blocks aren't needed as the fold runs over an entity's own ordered history."""
+    later one keeps (window - 1) / window of the one before. In closed form, as in ``ewm_mean``: prefix sums
+    with growing weights in blocks of changes whose totals carry over, so no row holds its entity's history."""
     p = F.col("adj_close")
-    history_of = W.partitionBy("ticker").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    base = prices.select("date", "ticker", (p - lagged(p, 1)).alias("_d"))
-    listed = F.collect_list("_d").over(history_of)
     keep = (window - 1) / window
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("g"), F.lit(0.0).alias("l"))
-
-    def step(s, d):
-        up, down = F.greatest(d, F.lit(0.0)), F.greatest(-d, F.lit(0.0))
-        seeded = s["n"] >= window
-        mean = lambda old, x: F.when(seeded, old * keep + x / window).otherwise(old + x / window)
-        return F.struct((s["n"] + 1).alias("n"), mean(s["g"], up).alias("g"), mean(s["l"], down).alias("l"))
-
-    smoothed = base.withColumn("_s", F.aggregate(listed, start, step))
-    total = F.col("_s.g") + F.col("_s.l")
-    return smoothed.select("date", "ticker", F.when(F.col("_s.n") >= window, F.try_divide(100 * F.col("_s.g"), unless_tiny(total))).alias("rsi"))
+    by = history()
+    base = prices.select("date", "ticker", (p - lagged(p, 1)).alias("_d")).withColumn("_j", F.count("_d").over(by))
+    # changes of the seed weigh the same
+    base = base.withColumn("_m", F.greatest(F.col("_j"), F.lit(window)) - window)
+    base = base.withColumn("_block", F.floor(F.col("_m") / block)).withColumn("_g", F.pow(F.lit(keep), -(F.col("_m") % block).cast("double")))
+    inside = W.partitionBy("ticker", "_block").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    part = lambda x: F.coalesce(F.sum(F.when(F.col("_d").isNotNull(), F.greatest(x, F.lit(0.0)) * F.col("_g"))).over(inside), F.lit(0.0)) / F.pow(F.lit(keep), -(F.col("_m") % block).cast("double"))
+    summed = base.withColumns({"_up": part(F.col("_d")), "_down": part(-F.col("_d"))})
+    # a block's totals at its last change fade by one change to the next block's first, and by keep^block for each later one
+    ends = summed.groupBy("ticker", "_block").agg(F.max_by("_up", "_j").alias("_eu"), F.max_by("_down", "_j").alias("_ed"))
+    past = W.partitionBy("ticker").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    faded = lambda c: F.aggregate(F.collect_list(c).over(past), F.lit(0.0), lambda s, v: s * keep**block + v)
+    carried = ends.select(F.col("ticker").alias("_k"), F.col("_block").alias("_b"), faded(F.col("_eu")).alias("_cu"), faded(F.col("_ed")).alias("_cd"))
+    fade = F.pow(F.lit(keep), (F.col("_m") % block + 1).cast("double"))
+    joined = summed.join(carried, (F.col("ticker") == F.col("_k")) & (F.col("_block") == F.col("_b")))
+    up, down = (F.col("_up") + F.col("_cu") * fade) / window, (F.col("_down") + F.col("_cd") * fade) / window
+    return joined.select("date", "ticker", F.when(F.col("_j") >= window, F.try_divide(100 * up, unless_tiny(up + down))).alias("rsi"))
 
 
 def exposures(tech: DataFrame, prices: DataFrame) -> DataFrame:

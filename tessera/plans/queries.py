@@ -537,6 +537,12 @@ def rsi_wilder(spark, d):
     return features.wilder_rsi(panels.prices(spark, d).filter(F.col("date") < F.lit("1997-01-01").cast("date")))
 
 
+@query
+def rsi_wilder_whole(spark, d):
+    """``rsi_wilder`` over all bars; its SQL covers those before 1997 only."""
+    return features.wilder_rsi(panels.prices(spark, d))
+
+
 @query
 def beta_size_exposures(spark, d):
     p = panels.prices(spark, d)
