@@ -467,6 +467,12 @@ def never_known(spark, d):
     return reports.never_known(panels.filings(spark, d).filter(F.col("filing") % 77 == 0), panels.METRICS)
 
 
+@query
+def never_known_all(spark, d):
+    """``never_known`` over all filings; its SQL covers one in 77."""
+    return reports.never_known(panels.filings(spark, d), panels.METRICS)
+
+
 @query
 def histogram_bins(spark, d):
     return reports.histogram(_technical(spark, d, ["rsi_14"]), "rsi_14", 20, 0.0, 100.0)

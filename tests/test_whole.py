@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import features
+from tessera.operators import features, reports
 from tessera.plans.queries import QUERIES
 from tessera.sources import panels
 
@@ -46,3 +46,18 @@ def test_wilder_of_all_bars(spark):
     want = {(t, d): x for t, bars in by.items() for d, x in _wilder(bars).items()}
     got = {(r["ticker"], r["date"]): r["rsi"] for r in QUERIES["rsi_wilder_whole"](spark, SF).collect()}
     assert got == {k: x if x is None else pytest.approx(x, abs=2e-6) for k, x in want.items()}
+
+
+def test_never_known_of_a_fixture(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", None, None), ("b", None, 2.0), ("b", None, None), ("c", 1.0, 2.0)], "ticker string, x double, y double")
+    assert sorted(map(tuple, reports.never_known(df, ["x", "y"]).collect())) == [("a", "y"), ("b", "x")]
+
+
+@needs_tables
+def test_never_known_of_all_filings(spark):
+    known = {}
+    for r in panels.filings(spark, SF).collect():
+        for m in panels.METRICS:
+            known[r["ticker"], m] = known.get((r["ticker"], m), False) or r[m] is not None
+    got = {tuple(r) for r in QUERIES["never_known_all"](spark, SF).collect()}
+    assert known and got == {k for k, v in known.items() if not v}
