@@ -612,8 +612,7 @@ def two_stage(spark, d):
 
 @query
 def cpcv_evaluate(spark, d):
-    small = CFG | {"validation": CFG["validation"] | {"groups": 4, "test_groups": 1}}
-    return modeling.evaluate_folds(_model_rows(spark, d), REPORTED, small, rounds=3)
+    return modeling.evaluate_folds(_model_rows(spark, d), REPORTED, CFG, rounds=3)
 
 
 @query

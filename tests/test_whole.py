@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import features, reports
+from tessera.operators import features, modeling, reports
 from tessera.plans.queries import QUERIES
 from tessera.sources import panels
 
@@ -61,3 +61,12 @@ def test_never_known_of_all_filings(spark):
             known[r["ticker"], m] = known.get((r["ticker"], m), False) or r[m] is not None
     got = {tuple(r) for r in QUERIES["never_known_all"](spark, SF).collect()}
     assert known and got == {k for k, v in known.items() if not v}
+
+
+@needs_tables
+def test_cpcv_is_asked_for_folds_of_two_test_groups_of_ten(spark, monkeypatch):
+    """The settings only: the fits of all folds take minutes."""
+    asked = []
+    monkeypatch.setattr(modeling, "evaluate_folds", lambda rows, names, cfg, rounds: asked.append(cfg["validation"]) or rows.limit(0))
+    QUERIES["cpcv_evaluate"](spark, SF)
+    assert [(c["groups"], c["test_groups"]) for c in asked] == [(10, 2)]
