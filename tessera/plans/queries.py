@@ -223,6 +223,25 @@ def survivorship(spark, d):
     return universe.survivorship(universe.membership(today, changes, "1995-01-31", "1999-12-31"), today.select(F.regexp_replace("ticker", r"\.", "-").alias("ticker")))
 
 
+def _months(spark, d):
+    """The first and last month end of the data, as text."""
+    first, last = panels.cross_section(spark, d).agg(F.last_day(F.min("date")), F.last_day(F.max("date"))).first()
+    return str(first), str(last)
+
+
+@query
+def universe_rebuild_all(spark, d):
+    """``universe_rebuild`` over all months; its SQL stops at 1999."""
+    return universe.membership(*_changes(spark, d), *_months(spark, d))
+
+
+@query
+def survivorship_all(spark, d):
+    """``survivorship`` over all months; its SQL stops at 1999."""
+    today, changes = _changes(spark, d)
+    return universe.survivorship(universe.membership(today, changes, *_months(spark, d)), today.select(F.regexp_replace("ticker", r"\.", "-").alias("ticker")))
+
+
 @query
 def dedup_best_row(spark, d):
     best = universe.best_rows(panels.filings(spark, d), panels.METRICS, ["ticker", "sec_acceptance_date", "form_type"], ["filing"])
@@ -561,6 +580,13 @@ def macro_panel(spark, d):
     return features.series_panel(e, ["click", "error", "purchase", "signup", "view"])
 
 
+@query
+def macro_panel_all(spark, d):
+    """``macro_panel`` over all events; its SQL leaves out a fifth."""
+    e = panels.table(spark, d, "events").select(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("series"), "value")
+    return features.series_panel(e, ["click", "error", "purchase", "signup", "view"])
+
+
 @query
 def id_lookup(spark, d):
     """Names with their padded id, and the names that have none."""

@@ -70,3 +70,23 @@ def test_cpcv_is_asked_for_folds_of_two_test_groups_of_ten(spark, monkeypatch):
     monkeypatch.setattr(modeling, "evaluate_folds", lambda rows, names, cfg, rounds: asked.append(cfg["validation"]) or rows.limit(0))
     QUERIES["cpcv_evaluate"](spark, SF)
     assert [(c["groups"], c["test_groups"]) for c in asked] == [(10, 2)]
+
+
+@needs_tables
+def test_macro_panel_of_all_events(spark):
+    by = {}
+    for r in panels.table(spark, SF, "events").select(F.col("ts").cast("date").alias("date"), "event_type", "value").collect():
+        by.setdefault(r["date"], {}).setdefault(r["event_type"], []).append(r["value"])
+    names, last, want = ["click", "error", "purchase", "signup", "view"], {}, {}
+    for date in sorted(by):
+        last |= {k: sum(known) / len(known) for k, v in by[date].items() if (known := [x for x in v if x is not None])}
+        want[date] = [last.get(k) for k in names]
+    got = {r["date"]: [r[k] for k in names] for r in QUERIES["macro_panel_all"](spark, SF).collect()}
+    assert got == {d: [x if x is None else pytest.approx(x, abs=2e-6) for x in v] for d, v in want.items()}
+
+
+@needs_tables
+def test_universe_runs_to_the_last_month(spark):
+    last = panels.cross_section(spark, SF).agg(F.last_day(F.max("date"))).first()[0]
+    assert QUERIES["universe_rebuild_all"](spark, SF).agg(F.max("date")).first()[0] == last
+    assert QUERIES["survivorship_all"](spark, SF).count() > 0
