@@ -1,11 +1,18 @@
-"""Toxicity by compression distance: one zstandard dictionary is trained on toxic text, one on ordinary
-text, and a window that the toxic dictionary compresses much better speaks for toxicity.
-
-A window is a word between its delimiters, between constant runs: the first takes up the frame's overhead,
-so lengths differ by what the word costs, and the last lets matches reach the end of the word (the match
-finder leaves a frame's last 8 bytes alone). The cell (word length, length under the ordinary dictionary, length
-under the toxic one) of a window has a calibrated log-odds; a document's evidence is that of its strongest
-windows, and a logistic fit turns it into a probability.
+"""Toxicity by compression distance: zstandard dictionaries are trained on toxic and on ordinary text, and a
+window that the toxic one compresses much better than the ordinary one does speaks for toxicity.
+
+1. The ordinary dictionary is trained on lines of ordinary texts. The toxic one is trained on lines of toxic
+   texts without the words that the ordinary dictionary compresses as well as it does others of their length,
+   so its few kilobytes go to what is peculiar to toxic text. Labels choose the texts, never the words.
+2. A window is a word between its delimiters, between constant runs: the first takes up the frame's overhead,
+   so lengths differ by what the word costs, and the last lets matches reach the end of the word (the match
+   finder leaves a frame's last 8 bytes alone). Windows of 2 and 4 words were tried and are worse (README).
+3. The cell (word length, length under the ordinary dictionary, length under the toxic one) of a window has
+   calibrated log-odds. A document's evidence is how many of its windows pass three thresholds of these, how
+   many unlike cells do, its strongest window and its number of windows; a logistic fit weighs them.
+4. The labelled rows are halved by a hash of the id. Each half trains dictionaries that the other half
+   calibrates, so there are two models, and a document's score is the logistic of their mean. The size of
+   the toxic dictionary and the excess that lets a word in are those of the least cross-fitted log loss.
 """
 
 from __future__ import annotations
@@ -28,80 +35,70 @@ from .common import as_bytes, written
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _RUN = b"~" * 40
 _MEMO = 400_000
+#: Words in a line that dictionaries are trained on.
+LINE = 8
+#: A word enters the toxic dictionary's training if it costs so many bytes more than others of its length ...
+EXCESS = (0.5, 1.0)
+#: ... and the toxic dictionary has so many bytes; all pairs are tried.
+TOXIC_BYTES = (2048, 4096, 8192)
+#: Thresholds of a window's log-odds.
+STRONG = (1.0, 2.0, 3.0)
+FEATURES = 3 + len(STRONG)
 
 
-def words(text: bytes) -> set[bytes]:
-    """The distinct words of a whole text."""
-    return set(text.translate(_FOLD).split())
+def words(text: bytes) -> list[bytes]:
+    """The words of a whole text."""
+    return text.translate(_FOLD).split()
+
+
+def lines(ws: list[bytes]) -> list[bytes]:
+    """The words in lines of ``LINE``."""
+    return [b" " + b" ".join(ws[i : i + LINE]) + b" " for i in range(0, len(ws), LINE)]
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
     return zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=17, hash_log=15, chain_log=15, search_log=6, target_length=64)
 
 
-class Distance:
-    """Window cells under a pair of dictionaries; words seen before are looked up."""
+class Lengths:
+    """Compressed lengths of windows under a dictionary, over that of the empty one, up to 40."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
+    def __init__(self, data: bytes):
         p = _parameters()
-        self.toxic, self.ordinary = (self._compressor(d, p) for d in (toxic, ordinary))
-        self.memo: dict[bytes, tuple] = {}
-        self.base = len(self.toxic(_RUN + _RUN))
-
-    @staticmethod
-    def _compressor(data: bytes, p):
-        if not data:
-            return zstandard.ZstdCompressor(compression_params=p).compress
         d = zstandard.ZstdCompressionDict(data)
         d.precompute_compress(compression_params=p)
-        return zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
-
-    def cell(self, word: bytes) -> tuple[int, int, int]:
-        """Of a word of any length: its length up to 16, and both compressed lengths over the shortest one,
-        up to 40. Words that the toxic dictionary can't compress well need no second compression."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            window = _RUN + b" " + word + b" " + _RUN
-            t = min(40, len(self.toxic(window)) - self.base)
-            found = self.memo[word] = (min(16, len(word)), min(40, len(self.ordinary(window)) - self.base) if t <= 8 else -1, t)
-        return found
+        self.compress = zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
+        self.base = len(self.compress(_RUN + _RUN))
 
-    def cells(self, text: bytes) -> set[tuple[int, int, int]]:
-        return {self.cell(w) for w in words(text) if len(w) > 2}
+    def of(self, word: bytes) -> int:
+        return min(40, len(self.compress(_RUN + b" " + word + b" " + _RUN)) - self.base)
 
 
-_LOADED: dict[str, Distance] = {}
+class Memo(dict):
+    """A function's values for words seen before, a bounded number of them."""
 
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
 
-def _distance(model: dict) -> Distance:
-    key = model["key"]
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Distance(model["toxic"], model["ordinary"])
-    return _LOADED[key]
+    def __missing__(self, word: bytes):
+        if len(self) >= _MEMO:
+            self.clear()
+        value = self[word] = self.f(word)
+        return value
 
 
-def evidence(cells: set, odds: dict) -> tuple[float, float, float]:
-    """The two strongest windows' log-odds, and the log of the number of unlike windows."""
-    top = sorted((odds.get(c, 0.0) for c in cells), reverse=True)[:2] + [0.0, 0.0]
-    return max(0.0, top[0]), max(0.0, top[1]), math.log1p(len(cells))
-
-
-def train_dictionary(counts: dict[bytes, int], size: int, most: int) -> bytes:
-    """A trained dictionary of words with their delimiters, each as often as it counts (``most`` times at most). Empty
-    if there is too little to train on."""
-    bag = [b" " + w + b" " for w, n in sorted(counts.items()) for _ in range(min(most, n))]
-    random.Random(5).shuffle(bag)
-    lines = [b"".join(bag[i : i + 4]) for i in range(0, len(bag), 4)]
+def train_dictionary(given: list[bytes], size: int) -> bytes | None:
+    """A dictionary trained on lines, of ``size`` bytes or an eighth of theirs; None if they are too few."""
+    given = sorted(given)
+    random.Random(5).shuffle(given)
     try:
-        return zstandard.train_dictionary(min(size, max(256, sum(map(len, lines)) // 8)), lines, k=24, d=6).as_bytes()
+        return zstandard.train_dictionary(min(size, max(256, sum(map(len, given)) // 8)), given, k=16, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(bag))[-size:] if len(bag) >= 2 else b""
+        return None
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights (the first is the intercept) of a ridge-regularised logistic regression, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -114,82 +111,230 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_toxic: int = 8000, most_ordinary: int = 24000, toxic_bytes: int = 8192, ordinary_bytes: int = 65536) -> dict:
-    """A model from labelled rows: at most ``most_toxic`` and ``most_ordinary`` of them, the first in the
-    order of a hash of the id. Even hashes train the dictionaries, odd ones calibrate, on whole texts.
-    Rows whose label or id is null, and labels without a document, are left out. Without labels of both
-    kinds every document scores the share of toxic labels (0 without any).
-    """
+def cell_odds(toxic: Counter, ordinary: Counter, prior: float = 2.0) -> dict:
+    """Log-odds of each cell: its share of the toxic windows over its share of the ordinary ones, drawn to
+    no difference by ``prior`` windows. Only those of the lowest threshold on matter, so others are left out."""
+    n1, n0 = sum(toxic.values()), sum(ordinary.values())
+    r = n1 / max(1, n0)
+    found = {c: math.log((toxic[c] + prior * r) / (n1 + 1)) - math.log((ordinary[c] + prior) / (n0 + 1)) for c in toxic}
+    return {c: v for c, v in found.items() if v >= STRONG[0]}
+
+
+def evidence(cells: dict, n: int, odds: dict) -> list[float]:
+    """The features of a document of n windows, ``cells`` being the number of windows of each cell (cells
+    without odds may be left out)."""
+    known = [(odds[c], v) for c, v in cells.items() if c in odds]
+    passing = [math.log1p(sum(v for o, v in known if o >= t)) for t in STRONG]
+    return [math.log1p(n), *passing, math.log1p(sum(o >= STRONG[1] for o, _ in known)), max((o for o, _ in known), default=0.0)]
+
+
+def _pack(cell: tuple[int, int, int]) -> int:
+    return cell[0] << 16 | cell[1] << 8 | cell[2]
+
+
+def _sample(docs: DataFrame, labels: DataFrame, label_col: str, most_toxic: int, most_ordinary: int) -> DataFrame:
+    """(text, y, half, fold): the labelled rows of a fit, equal texts of a label once. An id with labels that
+    contradict each other is left out."""
     spark = docs.sparkSession
-    keyed = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)).alias("h")).dropDuplicates(["_id"])
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("_z")).filter("y = _z")
+    keyed = known.select("_id", "y", F.xxhash64(F.col("_id").cast("string"), F.lit(17)).alias("h"))
     # bounded by the two parameters: at most 32,000 rows of 20 bytes reach the driver and the executors
     rows = [r for y, most in ((1, most_toxic), (0, most_ordinary)) for r in keyed.filter(F.col("y") == y).orderBy("h", "_id").limit(most).collect()]
-    chosen = spark.createDataFrame([(r["_id"], r["y"], bool(r["h"] & 1)) for r in rows], "_id long, y int, cal boolean")
-    sample = written(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "y", "cal", F.xxhash64("text").alias("h")).dropDuplicates(["h", "y"]).drop("h"), "toxicity-sample")
+    chosen = spark.createDataFrame([(r["_id"], r["y"], r["h"]) for r in rows], "_id long, y int, h long")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    once = found.groupBy(F.xxhash64("text").alias("_t"), "y").agg(F.min("h").alias("h"), F.first("text").alias("text"))
+    return written(once.select("text", "y", F.expr("int(pmod(h, 2))").alias("half"), F.expr("int(pmod(shiftright(h, 1), 2))").alias("fold")), "toxicity-sample")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for b in batches:
-            for t, y in zip(as_bytes(b["text"]), b["y"], strict=True):
-                seen[y].update(words(t))
-        yield pd.DataFrame([(y, w, n) for y in seen for w, n in seen[y].items()], columns=["y", "word", "n"])
 
-    totals = {(r["y"], r["cal"]): r["count"] for r in sample.groupBy("y", "cal").count().collect()}
-    tox, ordinary = totals.get((1, False), 0), totals.get((0, False), 0)
-    share = sum(n for (y, _), n in totals.items() if y) / max(1, sum(totals.values()))
-    model = {"toxic": b"", "ordinary": b"", "odds": {}, "weights": [math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0, 0.0], "key": ""}
-    if not tox or not ordinary:
-        return model
-    counts = sample.filter(~F.col("cal")).mapInPandas(counted, "y int, word binary, n long").groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
-    odds = F.log((F.col("p") + 0.5) / (tox + 1)) - F.log((F.col("q") + 0.5) / (ordinary + 1))
-    least = 3 if tox < 400 else 4
-    own = counts.filter((F.col("p") >= least) & (F.length("word") > 2) & (odds > 2.5)).orderBy(F.desc("p"), "word").limit(4000).collect()
-    rest = counts.filter((F.col("q") >= 3) & (odds < 0.5)).orderBy(F.desc("q"), "word").limit(60_000).collect()
-    model["toxic"] = train_dictionary({bytes(r["word"]): r["p"] for r in own}, toxic_bytes, 400)
-    model["ordinary"] = train_dictionary({bytes(r["word"]): r["q"] for r in rest}, ordinary_bytes, 30)
-    model["key"] = hashlib.md5(model["toxic"] + b"|" + model["ordinary"]).hexdigest()
+def _gathered(sample: DataFrame, y: int, most_bytes: int, keep=None) -> dict[int, list[bytes]]:
+    """By half: lines of the texts of a label, about ``most_bytes`` of them at most, chosen by a hash of the
+    line, so the driver holds a bounded part of however long texts. ``keep(half, word)`` chooses words."""
+    own = sample.filter(F.col("y") == y)
+    total = max((r["b"] or 0 for r in own.groupBy("half").agg(F.sum(F.octet_length("text")).alias("b")).collect()), default=0)
+    share = min(1.0, most_bytes / max(1, total))
 
-    def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        distance = _distance(model)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "cells": [[a << 16 | (c + 1) << 8 | d for a, c, d in sorted(distance.cells(t))] for t in as_bytes(b["text"])]})
+            out = []
+            for t, half in zip(as_bytes(b["text"]), b["half"], strict=True):
+                ws = words(t)
+                kept = lines(ws if keep is None else [w for w in ws if keep(half, w)])
+                if share < 1:
+                    kept = [x for x in kept if int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "big") < share * 2**32]
+                out.append(b"\n".join(kept))
+            yield pd.DataFrame({"half": b["half"], "lines": out})
+
+    rows = own.mapInPandas(run, "half int, lines binary").collect()
+    return {h: [x for r in rows if r["half"] == h for x in bytes(r["lines"]).split(b"\n") if x] for h in (0, 1)}
 
-    calibrating = sample.filter("cal").mapInPandas(celled, "y int, cells array<int>").collect()  # ints of a bounded sample
-    y = np.array([r["y"] for r in calibrating])
-    if not len(y) or y.min() == y.max():
+
+def _usual(given: list[bytes], cost) -> dict[int, float]:
+    """The mean cost of a word of each length, in lines."""
+    total, n = Counter(), Counter()
+    for w, k in Counter(w for x in given for w in x.split()).items():
+        total[min(20, len(w))] += k * cost[w]
+        n[min(20, len(w))] += k
+    return {k: total[k] / n[k] for k in n}
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_toxic: int = 8000, most_ordinary: int = 24000, ordinary_bytes: int = 65536, training_bytes: int = 6_000_000) -> dict:
+    """A model from labelled rows: at most ``most_toxic`` and ``most_ordinary`` of them, the first in the
+    order of a hash of the id, and at most about ``training_bytes`` of lines for each dictionary. Whole texts
+    calibrate. Rows whose label or id is null, and labels without a document, are left out. Without labels of
+    both kinds every document scores the share of toxic labels (0 without any). Reruns give the same model.
+    """
+    sample = _sample(docs, labels, label_col, most_toxic, most_ordinary)
+    totals = {(r["y"], r["half"]): r["count"] for r in sample.groupBy("y", "half").count().collect()}
+    share = sum(n for (y, _), n in totals.items() if y) / max(1, sum(totals.values()))
+    model = {"prior": math.log((share + 1e-6) / (1 - share + 1e-6)), "parts": [], "key": ""}
+    if not all(totals.get((y, h)) for y in (0, 1) for h in (0, 1)):
+        return model
+    plain = _gathered(sample, 0, training_bytes)
+    ordinary = {h: train_dictionary(plain[h], ordinary_bytes) for h in (0, 1)}
+    if None in ordinary.values():
+        return model
+    usual = {h: _usual(plain[h], Memo(Lengths(ordinary[h]).of)) for h in (0, 1)}
+    toxic: dict[tuple[int, int], bytes] = {}
+    for e, excess in enumerate(EXCESS):
+        own = _gathered(sample, 1, training_bytes, _peculiar(ordinary, usual, excess))
+        for s, size in enumerate(TOXIC_BYTES):
+            trained = {h: train_dictionary(own[h], size) for h in (0, 1)}
+            if None not in trained.values():
+                toxic |= {(e * len(TOXIC_BYTES) + s, h): trained[h] for h in (0, 1)}
+    tried = sorted({c for c, _ in toxic})
+    if not tried:
         return model
-    unpack = lambda cells: {(v >> 16, (v >> 8 & 255) - 1, v & 255) for v in cells}
-    each = [unpack(r["cells"]) for r in calibrating]
-    # each half of the rows gets odds from the other half, so no document's evidence holds its own label
-    folds = np.arange(len(each)) % 2
-    x = np.zeros((len(each), 3))
-    for f in (0, 1):
-        table = cell_odds([each[i] for i in np.flatnonzero(folds != f)], y[folds != f])
-        x[folds == f] = [evidence(each[i], table) for i in np.flatnonzero(folds == f)]
-    model["odds"] = cell_odds(each, y)
-    model["weights"] = fit_logistic(x, y).tolist()
+    odds, best = _calibrate(sample, ordinary, toxic, tried)
+    for half, (choice, weights) in sorted(best.items()):
+        model["parts"].append({"toxic": toxic[choice, 1 - half], "ordinary": ordinary[1 - half], "odds": odds[choice, half], "weights": weights})
+    model["key"] = hashlib.md5(repr([(p["toxic"], p["ordinary"], sorted(p["odds"].items()), p["weights"]) for p in model["parts"]]).encode()).hexdigest()
     return model
 
 
-def cell_odds(each: list[set], y: np.ndarray) -> dict:
-    p, q = Counter(), Counter()
-    for cells, label in zip(each, y, strict=True):
-        (p if label else q).update(cells)
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    odds = {c: math.log((p[c] + 0.2) / (n1 + 1)) - math.log((q[c] + 0.6) / (n0 + 1)) for c in p}
-    return {c: v for c, v in odds.items() if v > 0}
+def _peculiar(ordinary: dict[int, bytes], usual: dict[int, dict[int, float]], excess: float):
+    """Whether the ordinary dictionary of a half takes ``excess`` bytes more for a word than is usual."""
+    costs: dict[int, Memo] = {}
+
+    def keep(half: int, w: bytes) -> bool:
+        if half not in costs:
+            costs[half] = Memo(Lengths(ordinary[half]).of)
+        return len(w) > 2 and costs[half][w] >= usual[half].get(min(20, len(w)), 99) + excess
+
+    return keep
 
 
-def score_text(text: bytes, model: dict) -> float:
-    x = evidence(_distance(model).cells(text), model["odds"])
-    z = model["weights"][0] + sum(a * b for a, b in zip(model["weights"][1:], x, strict=True))
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+def _calibrate(sample: DataFrame, ordinary: dict, toxic: dict, tried: list[int]) -> tuple[dict, dict]:
+    """Odds by (choice, half), and by half the choice of the least cross-fitted log loss with its weights. A
+    half is calibrated under the dictionaries of the other one."""
+
+    def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        o = {h: Lengths(ordinary[h]) for h in (0, 1)}
+        t = {k: Lengths(d) for k, d in toxic.items()}
+
+        def cells_of(h: int):
+            def cells(w: bytes) -> list[int]:
+                cost = o[h].of(w)
+                return [_pack((min(16, len(w)), cost, t[c, h].of(w))) for c in tried]
+
+            return Memo(cells)
+
+        memo = {h: cells_of(h) for h in (0, 1)}
+        for b in batches:
+            out = []
+            for text, y, half, fold in zip(as_bytes(b["text"]), b["y"], b["half"], b["fold"], strict=True):
+                seen = Counter(w for w in words(text) if len(w) > 2)
+                each = [Counter() for _ in tried]
+                for w, n in seen.items():
+                    for c, cell in zip(each, memo[1 - half][w], strict=True):
+                        c[cell] += n
+                out += [(choice, half, fold, y, sum(seen.values()), list(c), list(c.values())) for choice, c in zip(tried, each, strict=True)]
+            yield pd.DataFrame(out, columns=["choice", "half", "fold", "y", "n", "cells", "counts"])
+
+    cells = written(sample.mapInPandas(celled, "choice int, half int, fold int, y int, n long, cells array<int>, counts array<long>"), "toxicity-cells")
+    each = cells.select("choice", "half", "fold", "y", F.explode(F.arrays_zip("cells", "counts")).alias("c")).groupBy("choice", "half", "fold", "y", "c.cells").agg(F.sum("c.counts").alias("n"))
+    counts: dict[tuple, Counter] = {}
+    for r in each.collect():  # one row a cell and setting: cells have three small numbers
+        counts.setdefault((r["choice"], r["half"], r["fold"], r["y"]), Counter())[r["cells"]] = r["n"]
+    of = lambda c, h, folds, y: sum((counts.get((c, h, f, y), Counter()) for f in folds), Counter())
+    # each fold's rows get odds from the other fold, so no document's evidence holds its own label
+    crossed = {(c, h, f): cell_odds(of(c, h, (1 - f,), 1), of(c, h, (1 - f,), 0)) for c in tried for h in (0, 1) for f in (0, 1)}
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = [evidence(dict(zip(cs, vs, strict=True)), n, crossed[c, h, f]) for c, h, f, n, cs, vs in zip(b["choice"], b["half"], b["fold"], b["n"], b["cells"], b["counts"], strict=True)]
+            yield pd.DataFrame({"choice": b["choice"], "half": b["half"], "fold": b["fold"], "y": b["y"], "x": x})
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, fold = np.array(rows["x"].tolist(), float), rows["y"].to_numpy(float), rows["fold"].to_numpy()
+        order = np.lexsort((*x.T, y, fold))  # sums don't depend on the order of the rows
+        x, y, fold = x[order], y[order], fold[order]
+        p = np.zeros(len(y))
+        for f in (0, 1):
+            w = fit_logistic(x[fold != f], y[fold != f])
+            p[fold == f] = 1 / (1 + np.exp(-np.clip(w[0] + x[fold == f] @ w[1:], -30, 30)))
+        p = np.clip(p, 1e-4, 1 - 1e-4)
+        loss = float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        return pd.DataFrame({"choice": [int(rows["choice"].iloc[0])], "half": [int(rows["half"].iloc[0])], "loss": [loss], "weights": [fit_logistic(x, y).tolist()]})
+
+    # a group is half of the bounded sample, six numbers a row
+    fits = cells.mapInPandas(featured, "choice int, half int, fold int, y int, x array<double>").groupBy("choice", "half").applyInPandas(fitted, "choice int, half int, loss double, weights array<double>").collect()
+    best = {h: min((round(r["loss"], 9), r["choice"], list(r["weights"])) for r in fits if r["half"] == h)[1:] for h in (0, 1)}
+    odds = {(c, h): cell_odds(of(c, h, (0, 1), 1), of(c, h, (0, 1), 0)) for h, (c, _) in best.items()}
+    return odds, best
+
+
+class Scorer:
+    """Scores texts by a model. A word is looked up once while it is remembered: (cell, log-odds) in each
+    part, or nothing if no part has odds for it. The second compression is only done where the first leaves
+    room for odds."""
+
+    def __init__(self, model: dict):
+        self.model = model
+        self.parts = []
+        for p in model["parts"]:
+            odds = {(c >> 16, c >> 8 & 255, c & 255): v for c, v in p["odds"].items()}
+            self.parts.append((Lengths(p["toxic"]), Lengths(p["ordinary"]), odds, {(a, t) for a, _, t in odds}))
+        self.memo = Memo(self._look)
+
+    def _look(self, w: bytes) -> tuple | None:
+        found = []
+        for toxic, ordinary, odds, open_cells in self.parts:
+            n, t = min(16, len(w)), toxic.of(w)
+            cell = (n, ordinary.of(w), t) if (n, t) in open_cells else None
+            found.append(cell if cell in odds else None)
+        return tuple(found) if any(found) else None
+
+    def score(self, text: bytes) -> float:
+        if not self.parts:
+            return 1 / (1 + math.exp(-self.model["prior"]))
+        seen = Counter(w for w in words(text) if len(w) > 2)
+        n, each = sum(seen.values()), [Counter() for _ in self.parts]
+        for w, k in seen.items():
+            if (cells := self.memo[w]) is not None:
+                for c, cell in zip(each, cells, strict=True):
+                    if cell:
+                        c[cell] += k
+        z = 0.0
+        for (*_, odds, _), c, p in zip(self.parts, each, self.model["parts"], strict=True):
+            z += p["weights"][0] + sum(a * b for a, b in zip(p["weights"][1:], evidence(c, n, odds), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z / len(self.parts)))))
+
+
+_LOADED: dict[str, Scorer] = {}
+
+
+def _scorer(model: dict) -> Scorer:
+    key = f"{model['key']}:{model['prior']}"
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Scorer(model)
+    return _LOADED[key]
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The columns ``keep`` (doc_id unless said otherwise) with score and predicted, one row a document,
     from the text alone and all of it; null and empty texts have no windows and get the score of no
-    evidence. No shuffle; the model is a few hundred kilobytes by its parameters."""
+    evidence. Equal texts score the same. No shuffle; the model is a few hundred kilobytes by its parameters."""
     keep = ["doc_id"] if keep is None else keep
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{names[0]} double", f"{names[1]} int"])
@@ -198,7 +343,8 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3, keep: list[str]
         import pyarrow as pa
 
         for b in batches:
-            s = [score_text(b"" if t is None else t.encode(), model) for t in b.column(len(keep)).to_pylist()]
+            one = _scorer(model).score
+            s = [one(b"" if t is None else t.encode()) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=[*keep, *names])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(scored, schema)
@@ -210,12 +356,14 @@ def held_out() -> F.Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for all documents, learnt from the rows that aren't held out."""
+    """doc_id, held_out, score, predicted of all documents, learnt from the rows that aren't held out. A row
+    without an id isn't held out; repeated rows are scored each; texts that are null or empty score as no
+    evidence; an empty table gives no rows. Columns beyond doc_id and text don't matter."""
     model = fit(docs, labels.filter(~held_out()))
     return score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that score below ``threshold``, columns as given."""
+    """The documents that score below ``threshold``, columns as given; nulls and repeats as in ``classify``."""
     model = fit(docs, labels.filter(~held_out()))
     return score(docs, model, threshold, docs.columns, ("_score", "_toxic")).filter("_toxic = 0").drop("_score", "_toxic")
