@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset
-    (tests on one machine), a temporary folder that is removed at exit."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset and the master
+    is local (tests on one machine), a temporary folder that is removed at exit; elsewhere executors couldn't
+    see such a folder, so this raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
@@ -42,6 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table of ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getParent().getName() == "tessera":
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held(df: DataFrame, key: str, parts: int) -> DataFrame:
     """``df`` dealt out by ``key`` and checkpointed into the shared folder, in a way that later joins and
     cogroups by ``key`` find it dealt out already, so these rows move once. (Spark knows the partitioning

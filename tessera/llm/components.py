@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _stars(directed: DataFrame) -> DataFrame:
@@ -32,17 +32,18 @@ def _small(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every vertex of ``edges`` (u, v of one orderable type): root is the smallest vertex
-    of its component. Loops and repeated edges don't matter; null ends are left out. Raises if it doesn't
-    settle in ``rounds`` rounds, which take the logarithm of the longest path."""
+    of its component. Loops and repeated edges don't matter; null ends are left out. It runs until a round
+    changes nothing, and each round but the last brings vertices nearer to their root, so it ends; a round's
+    table goes when the next one is written."""
     now = written(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     before = None
-    for _ in range(rounds):
-        now = written(_small(_large(now)), "edges")
+    while True:
+        last, now = now, written(_small(_large(now)), "edges")
+        dropped(last)
         print_of = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if print_of == before:
             pairs = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return pairs.union(pairs.select(F.col("root").alias("node"), "root")).distinct()
         before = print_of
-    raise RuntimeError(f"components have not settled after {rounds} rounds")

@@ -5,13 +5,14 @@ full shingle sets confirm what is left.
 2. A class's signature is the least value of each of ``bands * rows`` hash functions over its shingles.
    Classes that agree in a band share a bucket. At the given similarity the chance that no band agrees
    is below one in a million.
-3. Buckets are stars (every member to the bucket's first), whose components are clusters. A cluster's
-   classes meet in one task, or, if its shingles weigh more than a tile, in one task for each pair of tiles.
-4. In a task the signatures of classes that share a bucket are compared batch by batch. After each batch the
-   posterior of the similarity (a uniform prior, so a beta distribution) bounds the chance that it reaches
-   the threshold; pairs below ``miss`` are dropped. What survives is verified on the full sets, but for
-   pairs that are connected already. Classes near the cluster's commonest signature go first, so a large
-   group of copies of one text is connected by nearly as many verifications as it has members.
+3. Candidates are pairs within a bucket, in rounds, and only of classes that no confirmed links connect yet:
+   first each class with the first class of its buckets that it finds, then with those of its other buckets,
+   then the pairs of other members, each with its most similar partners first. A bucket of many copies of one
+   text is connected by as many pairs as it has members, and candidates that turn out unlike connect nothing.
+4. Signatures of candidates are compared batch by batch. After each batch the posterior of the similarity (a
+   uniform prior, so a beta distribution) bounds the chance that it reaches the threshold; pairs below
+   ``miss`` are dropped. What survives is confirmed on the full sets. Signatures are compared by the low byte of
+   each value: unlike values agree in it one time in 256, which lets more pairs through, and never fewer.
 """
 
 from __future__ import annotations
@@ -21,19 +22,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, shingles, space_words, written
+from .common import as_bytes, chunks, dropped, mix64, shingles, small, space_words, written
 from .components import connected_components
 
 BANDS, ROWS = 25, 5
 BATCH = 25
 #: Bytes of text in one go: numpy needs about eighty times as much for a moment.
 CHUNK = 1_000_000
+#: Partners that a member of a bucket offers in the first round; four times as many in each later one.
+PARTNERS = 16
 _U32 = np.uint64(32)
+_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,181 +71,312 @@ def least_matches(threshold: float, n: int, batch: int, miss: float) -> dict[int
     return out
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """For each signature a 64-bit key of each band."""
+    banded = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), 1))
+    for r in range(ROWS):
+        keys = mix64(keys * _MUL + banded[:, :, r])
+    return keys.view(np.int64)
+
+
+def _class(text: bytes) -> str:
+    """Names the word sequence of a text, A-Z lower-cased."""
+    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).hexdigest()
+
+
+def _sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, values, offsets) of the shingles of the texts, a megabyte of text at a time."""
+    for lo, hi in chunks(texts, CHUNK):
+        hashes, owner = space_words(texts[lo:hi])
+        yield lo, *shingles(hashes, owner, hi - lo, size)
+
+
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, class (of the word sequence; null without words) and sig (null likewise)."""
+    """doc_id, text_hash, n_shingles, and, null without words, class (of the word sequence), keys (a bucket of
+    each band) and sketch (the low byte of each of the signature's values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1).to_pylist())
-            counts, keys, sigs = [], [], []
-            for lo, hi in chunks(texts, CHUNK):
-                part = texts[lo:hi]
-                hashes, owner = space_words(part)
-                values, offsets = shingles(hashes, owner, len(part), size)
+            texts = as_bytes(b.column(2).to_pylist())
+            counts, names, keys, sketches = [], [], [], []
+            for lo, values, offsets in _sets(texts, size):
                 n = np.diff(offsets)
                 some = np.flatnonzero(n)
                 sig = signatures(values, np.append(offsets[:-1][some], offsets[-1]))
-                at = dict(zip(some.tolist(), sig, strict=True))
-                for i, t in enumerate(part):
-                    counts.append(int(n[i]))
-                    keys.append(hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).hexdigest() if n[i] else None)
-                    sigs.append(at[i].tobytes() if i in at else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "class", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class string, sig binary")
-
-
-def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of all texts as of ``shingles``, made a megabyte at a time."""
-    values, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for lo, hi in chunks(texts, CHUNK):
-        hashes, owner = space_words(texts[lo:hi])
-        some, offsets = shingles(hashes, owner, hi - lo, size)
-        values.append(some)
-        counts.append(np.diff(offsets))
-    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-
-
-class _Union:
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
-
-
-def link(sig: np.ndarray, values: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, miss: float, bands: int = BANDS) -> list[tuple[int, int]]:
-    """Edges that connect the sets as all similar pairs (a of ``left``, b of ``right``) that agree in a
-    band would; both are masks over the sets. Pairs already connected are not verified."""
-    n, width = sig.shape
-    threshold = percent / 100
-    least = least_matches(threshold, width, BATCH, miss)
-    sizes = np.diff(offsets)
-    common = np.array([np.bincount(np.unique(c, return_inverse=True)[1]).argmax() for c in sig.T]) if n > 2 else np.zeros(width, int)
-    mode = np.array([np.unique(c)[m] for c, m in zip(sig.T, common, strict=True)]) if n > 2 else sig[0]
-    order = np.argsort(-(sig == mode).sum(axis=1), kind="stable")
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    banded = sig.reshape(n, bands, -1)
-    buckets: list[dict[bytes, np.ndarray]] = []
-    for b in range(bands):
-        keys = np.ascontiguousarray(banded[:, b]).view(np.dtype((np.void, banded.shape[2] * 4))).ravel()
-        _, group = np.unique(keys, return_inverse=True)
-        by = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.diff(group[by])) + 1
-        members = np.split(by, cuts)
-        buckets.append([members, group])
-    union, edges = _Union(n), []
-    for i in order:
-        mates = np.unique(np.concatenate([m[g[i]] for m, g in buckets]))
-        mates = mates[place[mates] > place[i]]
-        ok = (right[mates] & left[i]) | (left[mates] & right[i])
-        mates = mates[ok]
-        # the smaller set can't hold enough if it is too small
-        lo, hi = np.minimum(sizes[mates], sizes[i]), np.maximum(sizes[mates], sizes[i])
-        mates = mates[lo * 100 >= percent * hi]
-        same = np.zeros(len(mates), np.int64)
-        for k in range(BATCH, width + 1, BATCH):
-            same += (sig[mates, k - BATCH : k] == sig[i, k - BATCH : k]).sum(axis=1)
-            keep = same >= least[k]
-            mates, same = mates[keep], same[keep]
-        if not len(mates):
-            continue
-        mine = values[offsets[i] : offsets[i + 1]]
-        for j in mates[np.argsort(-same, kind="stable")]:
-            if union.find(int(i)) == union.find(int(j)):
-                continue
-            theirs = values[offsets[j] : offsets[j + 1]]
-            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-            both = int((mine[at] == theirs).sum())
-            if both * 100 >= percent * (len(mine) + len(theirs) - both):
-                union.join(int(i), int(j))
-                edges.append((int(i), int(j)))
-    return edges
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, tile_bytes: int = 16_000_000) -> DataFrame:
+                at = {int(t): i for i, t in enumerate(some)}
+                banded, low = band_keys(sig), sig.astype(np.uint8)
+                for t in range(len(n)):
+                    i = at.get(t)
+                    counts.append(int(n[t]))
+                    names.append(None if i is None else _class(texts[lo + t]))
+                    keys.append(None if i is None else banded[i])
+                    sketches.append(None if i is None else low[i].tobytes())
+            columns = [pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "text_hash", "n_shingles", "class", "keys", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class string, keys array<long>, sketch binary")
+
+
+def surviving(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, matches): the pairs (row of ``a``, row of ``b``) that the sequential test leaves, whose sets
+    have ``n_a`` and ``n_b`` shingles. A set that is too small for the other can't hold enough of it."""
+    at = np.flatnonzero(np.minimum(n_a, n_b) * 100 >= percent * np.maximum(n_a, n_b))
+    same = np.zeros(len(at), np.int64)
+    for k in range(BATCH, a.shape[1] + 1, BATCH):
+        same = same + (a[at, k - BATCH : k] == b[at, k - BATCH : k]).sum(axis=1)
+        keep = same >= least[k]
+        at, same = at[keep], same[keep]
+    return at, same
+
+
+def similar(mine: np.ndarray, theirs: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share enough."""
+    if len(mine) > len(theirs):
+        mine, theirs = theirs, mine
+    at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+    both = int((theirs[at] == mine).sum())
+    return both * 100 >= percent * (len(mine) + len(theirs) - both)
+
+
+def _stack(column) -> np.ndarray:
+    """Binary values of one length as a matrix of bytes."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1) if values else np.zeros((0, BANDS * ROWS), np.uint8)
+
+
+class _Search:
+    """One search for near duplicates: its classes, the rounds of candidates, and the links found."""
+
+    def __init__(self, docs: DataFrame, size: int, percent: int, miss: float, tile: int):
+        self.docs, self.size, self.percent, self.tile = docs, size, percent, tile
+        self.least = least_matches(percent / 100, BANDS * ROWS, BATCH, miss)
+        self.tables: list[DataFrame] = []
+        self.described = self._written(describe(docs, size), "described")
+        some = self.described.filter(F.col("class").isNotNull()).groupBy("class")
+        # the written ids stay as they are; only how pairs are tried depends on them, not what is found
+        self.classes = self._written(some.agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+        self.tested: list[DataFrame] = []
+        self.roots: DataFrame | None = None
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, f"neardup-{name}"))
+        return self.tables[-1]
+
+    def run(self) -> None:
+        keyed = self.classes.select("cid", F.explode("keys").alias("key"))
+        stars = keyed.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("members")).filter("members > 1").withColumnRenamed("key", "_key")
+        buckets = self._written(keyed.join(stars, F.col("key") == F.col("_key")).select("key", "cid", "first", "members"), "buckets")
+        spokes = buckets.filter("cid <> first")
+        self._confirm(self._pruned(spokes.groupBy("cid").agg(F.min("first").alias("u")).select("u", F.col("cid").alias("v"))))
+        self._confirm(self._pruned(self._apart(spokes.select(F.col("first").alias("u"), F.col("cid").alias("v")).distinct())))
+        most = PARTNERS
+        while True:
+            found = self._within(buckets, most)
+            if found is None:
+                return
+            self._confirm(self._apart(found.filter("v IS NOT NULL").select("u", "v").distinct()))
+            if not found.filter("v IS NULL").head(1):
+                return
+            most *= 4
+
+    def _rooted(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        """``df`` with the root of the component of a class, by the links so far."""
+        if self.roots is None:
+            return df.withColumn(out, F.col(column))
+        roots = self.roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        return df.join(roots, F.col(column) == F.col("_node"), "left").withColumn(out, F.coalesce("_root", column)).drop("_node", "_root")
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that no links connect yet and that weren't confirmed or refuted before."""
+        for done in self.tested:
+            pairs = pairs.join(done.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
+        if self.roots is None:
+            return pairs
+        return self._rooted(self._rooted(pairs, "u", "_ru"), "v", "_rv").filter("_ru <> _rv").select("u", "v")
+
+    def _pruned(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that the sequential test leaves."""
+        sketch = lambda c: self.classes.select(F.col("cid").alias(f"_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        both = pairs.join(sketch("u"), F.col("u") == F.col("_u")).join(sketch("v"), F.col("v") == F.col("_v")).select("u", "v", "n_u", "n_v", "s_u", "s_v")
+        percent, least = self.percent, self.least
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, _ = surviving(_stack(b.column(4)), _stack(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy(), percent, least)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["u", "v"])
+
+        return both.mapInArrow(run, "u long, v long")
+
+    def _within(self, buckets: DataFrame, most: int) -> DataFrame | None:
+        """(u, v) within buckets that hold classes of several components, but for pairs with a bucket's first
+        class: each member's ``most`` most similar partners of other components that the sequential test
+        leaves; and a row (u, null) for a member with more. None if there are no such buckets.
+
+        A bucket of over ``tile`` members becomes tiles: members of one component in tiles of their own,
+        those of small components in mixed ones. A task gets a pair of tiles, unless both are of one component.
+        """
+        now = self._written(self._rooted(buckets.filter("members > 2"), "cid", "root"), "rooted")
+        open_keys = now.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a <> _z").select(F.col("key").alias("_key"))
+        kept = self._written(now.join(open_keys, F.col("key") == F.col("_key")).select("key", "cid", "first", "root", "members"), "open")
+        if not kept.head(1):
+            return None
+        tile = self.tile
+        light = kept.filter(F.col("members") <= tile).select(F.col("key").alias("task"), F.lit(0).alias("a"), F.lit(0).alias("b"), "cid", "first", "root", F.lit(0).alias("tile"))
+        heavy = kept.filter(F.col("members") > tile)
+        placed = light
+        if heavy.head(1):
+            sizes = heavy.groupBy("key", "root").agg(F.count("*").alias("n"))
+            mixed = sizes.groupBy("key").agg((F.coalesce(F.sum(F.when(F.col("n") < tile, F.col("n"))), F.lit(0)) / tile + 1).cast("int").alias("_mixed"))
+            sized = sizes.join(mixed.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).select(F.col("key").alias("_k"), F.col("root").alias("_r"), "n", "_mixed")
+            own = heavy.join(sized, (F.col("key") == F.col("_k")) & (F.col("root") == F.col("_r"))).withColumn("_pure", F.col("n") >= tile)
+            name = F.when(F.col("_pure"), F.concat_ws(":", "root", F.expr(f"pmod(xxhash64(cid), n div {tile} + 1)"))).otherwise(F.concat_ws(":", F.lit("m"), F.expr("pmod(xxhash64(root), _mixed)")))
+            own = own.select("key", "cid", "first", "root", name.alias("name"), F.when(F.col("_pure"), F.col("root")).alias("only"))
+            names = own.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("name", "only"))).alias("tiles")).withColumnRenamed("key", "_k")  # a tile each, not a member
+            others = F.filter("tiles", lambda t: t["only"].isNull() | F.col("only").isNull() | (t["only"] != F.col("only")))
+            each = own.join(names, F.col("key") == F.col("_k")).withColumn("tile", F.array_position(F.transform("tiles", lambda t: t["name"]), F.col("name")).cast("int")).withColumn("o", F.explode(others))
+            other = F.array_position(F.transform("tiles", lambda t: t["name"]), F.col("o.name")).cast("int")
+            placed = light.union(each.select(F.col("key").alias("task"), F.least("tile", other).alias("a"), F.greatest("tile", other).alias("b"), "cid", "first", "root", "tile"))
+        sketch = self.classes.select(F.col("cid").alias("_c"), "n", "sketch")
+        rows = placed.join(sketch, F.col("cid") == F.col("_c")).select("task", "a", "b", "tile", "cid", "first", "root", "n", "sketch")
+        percent, least = self.percent, self.least
+
+        def offer(part: list[pa.RecordBatch]) -> tuple[list, list]:
+            """The pairs of one task, whose rows these are."""
+            t = pa.Table.from_batches(part)
+            tiles, cid, first, root, n = (t.column(c).to_numpy() for c in ("tile", "cid", "first", "root", "n"))
+            a, b, sig = t.column("a")[0].as_py(), t.column("b")[0].as_py(), _stack(t.column("sketch"))
+            by = np.argsort(cid, kind="stable")
+            tiles, cid, first, root, n, sig = tiles[by], cid[by], first[by], root[by], n[by], sig[by]
+            us, vs = [], []
+            for i in range(len(cid)):
+                mates = np.flatnonzero((np.arange(len(cid)) > i) & (root != root[i]) & ((tiles == b) if tiles[i] == a else (tiles == a)) & (cid[i] != first))
+                at, same = surviving(np.broadcast_to(sig[i], (len(mates), sig.shape[1])), sig[mates], np.full(len(mates), n[i]), n[mates], percent, least)
+                order = np.lexsort((cid[mates[at]], -same))
+                vs += cid[mates[at[order[:most]]]].tolist()
+                us += [int(cid[i])] * min(most, len(order))
+                if len(order) > most:
+                    us.append(int(cid[i]))
+                    vs.append(None)
+            return us, vs
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, key = [], None
+            us: list = []
+            vs: list = []
+            for b in batches:
+                where = np.column_stack([b.column(c).to_numpy() for c in ("task", "a", "b")]) if b.num_rows else np.zeros((0, 3), np.int64)
+                cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), len(where)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if lo == hi:
+                        continue
+                    if held and tuple(where[lo]) != key:
+                        u, v = offer(held)
+                        us, vs, held = us + u, vs + v, []
+                    held.append(b.slice(lo, hi - lo))
+                    key = tuple(where[lo])
+                if len(us) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                    us, vs = [], []
+            if held:
+                u, v = offer(held)
+                us, vs = us + u, vs + v
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+        dealt = rows.repartition("task", "a", "b").sortWithinPartitions("task", "a", "b")
+        return self._written(dealt.mapInArrow(run, "u long, v long"), "offers")
+
+    def _confirm(self, pairs: DataFrame) -> None:
+        """Confirms pairs (u, v) on their full sets, and brings the components up to date."""
+        pairs = self._written(pairs, "candidates")
+        if not pairs.head(1):
+            return
+        self.tested.append(pairs)
+        sets = self._written(self._shingles(pairs), "sets")
+        of = lambda c: sets.select(F.col("cid").alias(f"_{c}"), F.col("set").alias(f"s_{c}"))
+        both = pairs.join(of("u"), F.col("u") == F.col("_u")).join(of("v"), F.col("v") == F.col("_v")).select("u", "v", "s_u", "s_v")
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                same = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(same, pa.bool_()))
+
+        links = self._written(both.mapInArrow(run, "u long, v long"), "links")
+        dropped(sets)
+        if links.head(1):
+            edges = links if self.roots is None else self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)
+            self.roots = self._written(connected_components(edges), "roots")
+
+    def _shingles(self, pairs: DataFrame) -> DataFrame:
+        """(cid, set): the full sets of the classes in pairs, sorted 64-bit values, from the one document of each
+        class that has its least id, or from any if it has no ids."""
+        needed = pairs.select("u").union(pairs.select("v")).distinct().join(self.classes.select("cid", "class", "least_id"), F.col("u") == F.col("cid")).select("cid", F.col("class").alias("_class"), "least_id")
+        needed = self._written(needed, "needed")
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        rows = texts.join(small(needed.filter("least_id IS NOT NULL").select(F.col("least_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+        if needed.filter("least_id IS NULL").head(1):
+            rows = rows.union(texts.filter("doc_id IS NULL"))
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, names, found = b.column(0).to_pylist(), [], []
+                texts = as_bytes(b.column(1).to_pylist())
+                for lo, values, offsets in _sets(texts, size):
+                    names += [_class(t) for t in texts[lo : lo + len(offsets) - 1]]
+                    found += [values[a:z].tobytes() for a, z in zip(offsets, offsets[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(found, pa.binary())], names=["doc_id", "class", "set"])
+
+        made = rows.mapInArrow(run, "doc_id long, class string, set binary")
+        return made.join(needed, (F.col("class") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).groupBy("cid").agg(F.first("set").alias("set"))
+
+    def named(self) -> DataFrame:
+        """(doc_id, text_hash, n_shingles, class, component) of every document."""
+        classed = self._rooted(self.classes.select("cid", "class", "least_id"), "cid", "root")
+        named = classed.groupBy("root").agg(F.min("least_id").alias("component")).withColumnRenamed("root", "_root")
+        of_class = classed.join(named, F.col("root") == F.col("_root")).select(F.col("class").alias("_class"), "root", "component")
+        return self.described.select("doc_id", "text_hash", "n_shingles", "class").join(of_class, F.col("class") == F.col("_class"), "left").drop("_class")
+
+    def close(self) -> None:
+        for t in self.tables:
+            dropped(t)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, tile: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document.
 
     Documents link if 100 * common shingles >= percent * all shingles of both; a component is the documents
     that links connect. Null and empty texts have no shingles, link with nothing, and keep their own id.
     Copies, also ones of equal id, are one class; a null id is in the component of its class, but never its
-    name (kept is false unless the ids are equal). An empty table gives no rows. ``tile_bytes`` bounds the
-    text in one task but for a single longer document.
+    name (kept is false unless the ids are equal). An empty table gives no rows. Extra columns don't matter.
+    No task compares more than ``tile`` squared pairs of a bucket, whatever its size.
     """
-    described = written(describe(docs, size), "neardup-signatures")
-    classes = described.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least_id"), F.first("sig").alias("sig"))
-    classes = written(classes, "neardup-classes")
-    banded = classes.select("class", F.posexplode(F.array(*[F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS) for b in range(BANDS)])).alias("band", "part"))
-    keyed = banded.select("class", F.xxhash64("band", "part").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("class").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_key"), "first")
-    candidates = keyed.join(stars, F.col("key") == F.col("_key")).filter(F.col("class") != F.col("first")).select(F.col("class").alias("u"), F.col("first").alias("v"))
-    clusters = written(connected_components(candidates), "neardup-clusters")
-    linked = _links(docs, classes, clusters, size, percent, miss, tile_bytes)
-    roots = connected_components(linked)
-    members = classes.select("class", "least_id").join(roots, F.col("class") == F.col("node")).select("class", "root", "least_id")
-    named = members.groupBy("root").agg(F.min("least_id").alias("component")).withColumnRenamed("root", "_root")
-    of_class = members.join(named, F.col("root") == F.col("_root")).select(F.col("class").alias("_class"), "component")
-    alone = classes.select(F.col("class").alias("_c"), "least_id")
-    out = described.drop("sig").join(of_class, F.col("class") == F.col("_class"), "left").join(alone, F.col("class") == F.col("_c"), "left")
-    component = F.coalesce("component", "least_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
-
-
-def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, size: int, percent: int, miss: float, tile_bytes: int) -> DataFrame:
-    """(u, v): edges between classes that connect them as all confirmed links would."""
-    # a class's text comes from one of its documents: the one of the least id, or any if that is null
-    wanted = classes.join(clusters, F.col("class") == F.col("node")).select("class", "root", F.col("least_id").alias("_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    picked = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_made", _class_of("text")).filter(F.col("_made") == F.col("class"))
-    picked = picked.dropDuplicates(["class"]).select("class", "root", "text").join(classes.select(F.col("class").alias("_sig_of"), "sig"), F.col("class") == F.col("_sig_of"))
-    picked = written(picked.select("class", "root", "sig", "text"), "neardup-texts")
-    weights = picked.groupBy("root").agg(F.sum(F.octet_length("text") + 600).alias("weight")).select(F.col("root").alias("_root"), "weight", F.expr(f"int(1 + weight div {tile_bytes}L)").alias("tiles"))
-    weights = written(weights, "neardup-clusters")
-    # small clusters share a task: as many bins as their text takes; a cluster of several tiles has its own
-    bins = 1 + int((weights.filter("tiles = 1").agg(F.sum("weight")).first()[0] or 0) // (tile_bytes // 8))
-    weights = weights.drop("weight").withColumn("bin", F.when(F.col("tiles") > 1, F.col("_root")).otherwise(F.expr(f"string(pmod(xxhash64(_root), {bins}L))")))
-    tiled = picked.join(weights, F.col("root") == F.col("_root")).withColumn("tile", F.expr("int(pmod(xxhash64(class), tiles))"))
-    # each pair of tiles (a <= b) is a task; a tile goes to every pair that it is part of
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b")))
-    placed = tiled.withColumn("pair", F.explode(pairs)).select("bin", "root", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "tile", "class", "sig", "text")
-
-    def confirm(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("class", ignore_index=True)
-        values, offsets = _sets(as_bytes(rows["text"]), size)
-        sig = np.stack([np.frombuffer(s, np.uint32) for s in rows["sig"]])
-        tile = rows["tile"].to_numpy()
-        edges = link(sig, values, offsets, tile == rows["a"].iloc[0], tile == rows["b"].iloc[0], percent, miss)
-        name = rows["class"].to_numpy()
-        return pd.DataFrame({"u": [name[a] for a, _ in edges], "v": [name[b] for _, b in edges]}, dtype=object)
-
-    def confirm_many(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [confirm(part) for _, part in rows.groupby("root", sort=False) if len(part) > 1]
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"u": [], "v": []}, dtype=object)
-
-    return written(placed.groupBy("bin", "a", "b").applyInPandas(confirm_many, "u string, v string"), "neardup-links")
-
-
-def _class_of(text) -> F.Column:
-    """The class of a text as ``describe`` gives it, in SQL functions where possible: a small Arrow UDF."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def made(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).hexdigest() for t in as_bytes(texts)], dtype=object)
-
-    return made(text)
-
-
-def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: one of each component (and every document without words), columns as
-    given. Documents of equal id stay if one of them does, and documents without an id always."""
-    found = near_duplicates(docs, size, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").union(docs.filter(F.col("doc_id").isNull()))
+    search = _Search(docs, size, percent, miss, tile)
+    search.run()
+    component = F.coalesce("component", "doc_id")
+    out = written(search.named().select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")), "neardup")
+    search.close()
+    return out
+
+
+def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, tile: int = 4096) -> DataFrame:
+    """The documents that stay, columns as given: of each component the one of the least id (of the least text
+    hash, where ids are equal or all null), and every document without words. Of rows of equal id and text
+    that stay only one does. What goes is joined back, not what stays."""
+    search = _Search(docs, size, percent, miss, tile)
+    search.run()
+    named = written(search.named().filter(F.col("class").isNotNull()).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "neardup-rows")
+    search.close()
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    stays = named.groupBy("root").agg(F.min(place).alias("best")).select(F.col("root").alias("_root"), "best")
+    marked = named.join(stays, F.col("root") == F.col("_root")).withColumn("_best", place == F.col("best"))
+    gone = written(marked.filter("NOT _best").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "neardup-gone")
+    kept = docs.withColumn("_text_hash", F.xxhash64("text")).join(small(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
+    repeated = written(marked.filter("_best AND n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "neardup-repeated")
+    if not repeated.head(1):
+        return kept.drop("_text_hash")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept.join(small(repeated), on, "left_semi").groupBy("doc_id", "_text_hash").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")
+    return kept.join(small(repeated), on, "left_anti").drop("_text_hash").union(one)
