@@ -5,10 +5,11 @@ full shingle sets confirm what is left.
 2. A class's signature is the least value of each of ``bands * rows`` hash functions over its shingles.
    Classes that agree in a band share a bucket. At the given similarity the chance that no band agrees
    is below one in a million.
-3. Candidates are pairs within a bucket, in rounds, and only of classes that no confirmed links connect yet:
-   first each class with the first class of its buckets that it finds, then with those of its other buckets,
-   then the pairs of other members, each with its most similar partners first. A bucket of many copies of one
-   text is connected by as many pairs as it has members, and candidates that turn out unlike connect nothing.
+3. Candidates are pairs within a bucket, and only of classes that no confirmed links connect yet: first each
+   class with the most central class of its buckets (the one with the most mates in all of its own), then
+   with the central classes of its other buckets, then all pairs that are left, each in the bucket of the
+   first band that it shares. So many copies of one text are connected by as many pairs as there are copies,
+   and candidates that turn out unlike connect nothing.
 4. Signatures of candidates are compared batch by batch. After each batch the posterior of the similarity (a
    uniform prior, so a beta distribution) bounds the chance that it reaches the threshold; pairs below
    ``miss`` are dropped. What survives is confirmed on the full sets. Signatures are compared by the low byte of
@@ -33,8 +34,6 @@ BANDS, ROWS = 25, 5
 BATCH = 25
 #: Bytes of text in one go: numpy needs about eighty times as much for a moment.
 CHUNK = 1_000_000
-#: Partners that a member of a bucket offers in the first round; four times as many in each later one.
-PARTNERS = 16
 _U32 = np.uint64(32)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,8 +92,7 @@ def _sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, and, null without words, class (of the word sequence), keys (a bucket of
-    each band) and sketch (the low byte of each of the signature's values)."""
+    """doc_id, text_hash, n_shingles, and, null without words, class (of the word sequence), keys (a 64-bit bucket of each band) and sketch (the low byte of each of the signature's values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,12 +108,12 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                     i = at.get(t)
                     counts.append(int(n[t]))
                     names.append(None if i is None else _class(texts[lo + t]))
-                    keys.append(None if i is None else banded[i])
+                    keys.append(None if i is None else banded[i].tobytes())
                     sketches.append(None if i is None else low[i].tobytes())
-            columns = [pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            columns = [pa.array(counts, pa.int64()), pa.array(names, pa.string()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "text_hash", "n_shingles", "class", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class string, keys array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class string, keys binary, sketch binary")
 
 
 def surviving(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +143,70 @@ def _stack(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1) if values else np.zeros((0, BANDS * ROWS), np.uint8)
 
 
+class _Union:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether this connects what wasn't connected."""
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _tasks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each task, from batches sorted by the columns ``keys``."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        where = np.column_stack([b.column(c).to_numpy() for c in keys]) if b.num_rows else np.zeros((0, len(keys)), np.int64)
+        cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), len(where)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            if held and tuple(where[lo]) != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            now = tuple(where[lo])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+TASK = ("task", "a", "b")
+
+
+class _Task:
+    """One bucket, or a pair of its tiles: which pairs are to be compared here, and which survive."""
+
+    def __init__(self, rows: pa.Table, percent: int, least: dict[int, int]):
+        self.percent, self.least = percent, least
+        order = np.argsort(rows.column("cid").to_numpy(), kind="stable")
+        self.rows = rows.take(pa.array(order))
+        self.tile, self.cid, self.root, self.n = (self.rows.column(c).to_numpy() for c in ("tile", "cid", "root", "n"))
+        self.a, self.b, self.band = (self.rows.column(c)[0].as_py() for c in ("a", "b", "band"))
+        self.sig = _stack(self.rows.column("sketch"))
+        self.keys = np.frombuffer(b"".join(self.rows.column("keys").to_pylist()), np.int64).reshape(len(self.cid), BANDS)
+
+    def mates(self, i: int) -> np.ndarray:
+        """The later rows of other components that survive with row i; a pair that shares an earlier band is
+        another task's."""
+        at = np.arange(i + 1, len(self.cid))
+        at = at[(self.root[at] != self.root[i]) & (self.tile[at] == (self.b if self.tile[i] == self.a else self.a))]
+        if self.band and len(at):
+            at = at[~(self.keys[at, : self.band] == self.keys[i, : self.band]).any(axis=1)]
+        left, same = surviving(np.broadcast_to(self.sig[i], (len(at), self.sig.shape[1])), self.sig[at], np.full(len(at), self.n[i]), self.n[at], self.percent, self.least)
+        return at[left[np.argsort(-same, kind="stable")]]
+
+
 class _Search:
-    """One search for near duplicates: its classes, the rounds of candidates, and the links found."""
+    """One search for near duplicates: its classes, the rounds of candidates, and the components so far."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int, miss: float, tile: int):
         self.docs, self.size, self.percent, self.tile = docs, size, percent, tile
@@ -156,7 +216,6 @@ class _Search:
         some = self.described.filter(F.col("class").isNotNull()).groupBy("class")
         # the written ids stay as they are; only how pairs are tried depends on them, not what is found
         self.classes = self._written(some.agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-        self.tested: list[DataFrame] = []
         self.roots: DataFrame | None = None
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
@@ -164,21 +223,18 @@ class _Search:
         return self.tables[-1]
 
     def run(self) -> None:
-        keyed = self.classes.select("cid", F.explode("keys").alias("key"))
-        stars = keyed.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("members")).filter("members > 1").withColumnRenamed("key", "_key")
-        buckets = self._written(keyed.join(stars, F.col("key") == F.col("_key")).select("key", "cid", "first", "members"), "buckets")
-        spokes = buckets.filter("cid <> first")
-        self._confirm(self._pruned(spokes.groupBy("cid").agg(F.min("first").alias("u")).select("u", F.col("cid").alias("v"))))
-        self._confirm(self._pruned(self._apart(spokes.select(F.col("first").alias("u"), F.col("cid").alias("v")).distinct())))
-        most = PARTNERS
-        while True:
-            found = self._within(buckets, most)
-            if found is None:
-                return
-            self._confirm(self._apart(found.filter("v IS NOT NULL").select("u", "v").distinct()))
-            if not found.filter("v IS NULL").head(1):
-                return
-            most *= 4
+        keyed = self.classes.select("cid", "n", F.posexplode(F.array(*[F.substring("keys", 1 + 8 * b, 8) for b in range(BANDS)])).alias("band", "part"))
+        keyed = keyed.select("cid", "n", "band", F.xxhash64("band", "part").alias("key"))
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).filter("members > 1").withColumnRenamed("key", "_key")
+        buckets = self._written(keyed.join(sizes, F.col("key") == F.col("_key")).drop("_key"), "buckets")
+        mates = buckets.groupBy("cid").agg(F.sum(F.col("members") - 1).alias("mates")).withColumnRenamed("cid", "_cid")
+        central = F.max(F.struct("mates", "cid"))
+        stars = buckets.join(mates, F.col("cid") == F.col("_cid")).groupBy("key").agg(central.alias("first")).withColumnRenamed("key", "_key")
+        spokes = self._written(buckets.join(stars, F.col("key") == F.col("_key")).filter("cid <> first.cid").groupBy("cid", F.col("first.cid").alias("u")).agg(F.max("first.mates").alias("mates")), "spokes")
+        best = spokes.groupBy("cid").agg(F.max_by("u", F.struct("mates", "u")).alias("u"))
+        self._confirm(self._pruned(best.select("u", F.col("cid").alias("v"))))
+        self._confirm(self._pruned(self._apart(spokes.select("u", F.col("cid").alias("v")))))
+        self._connect(self._within(buckets))
 
     def _rooted(self, df: DataFrame, column: str, out: str) -> DataFrame:
         """``df`` with the root of the component of a class, by the links so far."""
@@ -188,9 +244,7 @@ class _Search:
         return df.join(roots, F.col(column) == F.col("_node"), "left").withColumn(out, F.coalesce("_root", column)).drop("_node", "_root")
 
     def _apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) that no links connect yet and that weren't confirmed or refuted before."""
-        for done in self.tested:
-            pairs = pairs.join(done.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
+        """The pairs (u, v) that no links connect yet."""
         if self.roots is None:
             return pairs
         return self._rooted(self._rooted(pairs, "u", "_ru"), "v", "_rv").filter("_ru <> _rv").select("u", "v")
@@ -208,91 +262,92 @@ class _Search:
 
         return both.mapInArrow(run, "u long, v long")
 
-    def _within(self, buckets: DataFrame, most: int) -> DataFrame | None:
-        """(u, v) within buckets that hold classes of several components, but for pairs with a bucket's first
-        class: each member's ``most`` most similar partners of other components that the sequential test
-        leaves; and a row (u, null) for a member with more. None if there are no such buckets.
+    def _within(self, buckets: DataFrame) -> DataFrame | None:
+        """(u, v): links that connect what the remaining candidates do, those of buckets that hold classes of
+        several components. None if there are none.
 
-        A bucket of over ``tile`` members becomes tiles: members of one component in tiles of their own,
-        those of small components in mixed ones. A task gets a pair of tiles, unless both are of one component.
+        Rows meet without their sets first, and only those that have a surviving partner come again with them.
+        """
+        kept = self._tiled(buckets)
+        if kept is None:
+            return None
+        sketch = self.classes.select(F.col("cid").alias("_c"), "n", "sketch", "keys")
+        met = kept.join(sketch, F.col("cid") == F.col("_c")).drop("_c")
+        percent, least = self.percent, self.least
+        plain = "task long, a int, b int, tile int, band int, cid long, root long"
+
+        def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _tasks(batches, TASK):
+                t = _Task(rows, percent, least)
+                some = np.zeros(len(t.cid), bool)
+                for i in range(len(t.cid)):
+                    mates = t.mates(i)
+                    some[mates] = True
+                    some[i] |= len(mates) > 0
+                yield from t.rows.select(["task", "a", "b", "tile", "band", "cid", "root"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+        wanted = self._written(met.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(partnered, plain), "partnered")
+        if not wanted.head(1):
+            return None
+        sets = self._written(self._shingles(wanted.select("cid").distinct()), "sets").withColumnRenamed("cid", "_s")
+        full = wanted.join(sketch, F.col("cid") == F.col("_c")).drop("_c").join(sets, F.col("cid") == F.col("_s")).drop("_s")
+
+        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _tasks(batches, TASK):
+                t = _Task(rows, percent, least)
+                values = [np.frombuffer(x.as_py(), np.uint64) for x in t.rows.column("set")]
+                # rows of one component are connected already
+                first: dict[int, int] = {}
+                union = _Union(len(t.cid))
+                for i, r in enumerate(t.root.tolist()):
+                    union.join(first.setdefault(r, i), i)
+                us, vs = [], []
+                for i in range(len(t.cid)):
+                    for j in t.mates(i).tolist():
+                        if union.find(i) != union.find(j) and similar(values[i], values[j], percent):
+                            union.join(i, j)
+                            us.append(t.cid[i])
+                            vs.append(t.cid[j])
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+        return self._written(full.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(linked, "u long, v long"), "links")
+
+    def _tiled(self, buckets: DataFrame) -> DataFrame | None:
+        """(task, a, b, tile, band, cid, root): the rows of the buckets that hold several components.
+
+        A bucket whose sets weigh more than ``tile`` shingles becomes tiles: members of one component in tiles
+        of their own, those of small components in mixed ones. A task gets a pair of tiles (a, b), unless both
+        are of one component; a bucket that isn't split is the task (0, 0).
         """
         now = self._written(self._rooted(buckets.filter("members > 2"), "cid", "root"), "rooted")
-        open_keys = now.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a <> _z").select(F.col("key").alias("_key"))
-        kept = self._written(now.join(open_keys, F.col("key") == F.col("_key")).select("key", "cid", "first", "root", "members"), "open")
+        several = now.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a <> _z").select(F.col("key").alias("_key"))
+        kept = self._written(now.join(several, F.col("key") == F.col("_key")).select("key", "band", "cid", "n", "root", "members", "weight"), "open")
         if not kept.head(1):
             return None
         tile = self.tile
-        light = kept.filter(F.col("members") <= tile).select(F.col("key").alias("task"), F.lit(0).alias("a"), F.lit(0).alias("b"), "cid", "first", "root", F.lit(0).alias("tile"))
-        heavy = kept.filter(F.col("members") > tile)
-        placed = light
-        if heavy.head(1):
-            sizes = heavy.groupBy("key", "root").agg(F.count("*").alias("n"))
-            mixed = sizes.groupBy("key").agg((F.coalesce(F.sum(F.when(F.col("n") < tile, F.col("n"))), F.lit(0)) / tile + 1).cast("int").alias("_mixed"))
-            sized = sizes.join(mixed.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")).select(F.col("key").alias("_k"), F.col("root").alias("_r"), "n", "_mixed")
-            own = heavy.join(sized, (F.col("key") == F.col("_k")) & (F.col("root") == F.col("_r"))).withColumn("_pure", F.col("n") >= tile)
-            name = F.when(F.col("_pure"), F.concat_ws(":", "root", F.expr(f"pmod(xxhash64(cid), n div {tile} + 1)"))).otherwise(F.concat_ws(":", F.lit("m"), F.expr("pmod(xxhash64(root), _mixed)")))
-            own = own.select("key", "cid", "first", "root", name.alias("name"), F.when(F.col("_pure"), F.col("root")).alias("only"))
-            names = own.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("name", "only"))).alias("tiles")).withColumnRenamed("key", "_k")  # a tile each, not a member
-            others = F.filter("tiles", lambda t: t["only"].isNull() | F.col("only").isNull() | (t["only"] != F.col("only")))
-            each = own.join(names, F.col("key") == F.col("_k")).withColumn("tile", F.array_position(F.transform("tiles", lambda t: t["name"]), F.col("name")).cast("int")).withColumn("o", F.explode(others))
-            other = F.array_position(F.transform("tiles", lambda t: t["name"]), F.col("o.name")).cast("int")
-            placed = light.union(each.select(F.col("key").alias("task"), F.least("tile", other).alias("a"), F.greatest("tile", other).alias("b"), "cid", "first", "root", "tile"))
-        sketch = self.classes.select(F.col("cid").alias("_c"), "n", "sketch")
-        rows = placed.join(sketch, F.col("cid") == F.col("_c")).select("task", "a", "b", "tile", "cid", "first", "root", "n", "sketch")
-        percent, least = self.percent, self.least
-
-        def offer(part: list[pa.RecordBatch]) -> tuple[list, list]:
-            """The pairs of one task, whose rows these are."""
-            t = pa.Table.from_batches(part)
-            tiles, cid, first, root, n = (t.column(c).to_numpy() for c in ("tile", "cid", "first", "root", "n"))
-            a, b, sig = t.column("a")[0].as_py(), t.column("b")[0].as_py(), _stack(t.column("sketch"))
-            by = np.argsort(cid, kind="stable")
-            tiles, cid, first, root, n, sig = tiles[by], cid[by], first[by], root[by], n[by], sig[by]
-            us, vs = [], []
-            for i in range(len(cid)):
-                mates = np.flatnonzero((np.arange(len(cid)) > i) & (root != root[i]) & ((tiles == b) if tiles[i] == a else (tiles == a)) & (cid[i] != first))
-                at, same = surviving(np.broadcast_to(sig[i], (len(mates), sig.shape[1])), sig[mates], np.full(len(mates), n[i]), n[mates], percent, least)
-                order = np.lexsort((cid[mates[at]], -same))
-                vs += cid[mates[at[order[:most]]]].tolist()
-                us += [int(cid[i])] * min(most, len(order))
-                if len(order) > most:
-                    us.append(int(cid[i]))
-                    vs.append(None)
-            return us, vs
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, key = [], None
-            us: list = []
-            vs: list = []
-            for b in batches:
-                where = np.column_stack([b.column(c).to_numpy() for c in ("task", "a", "b")]) if b.num_rows else np.zeros((0, 3), np.int64)
-                cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), len(where)]
-                for lo, hi in zip(cuts, cuts[1:], strict=False):
-                    if lo == hi:
-                        continue
-                    if held and tuple(where[lo]) != key:
-                        u, v = offer(held)
-                        us, vs, held = us + u, vs + v, []
-                    held.append(b.slice(lo, hi - lo))
-                    key = tuple(where[lo])
-                if len(us) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-                    us, vs = [], []
-            if held:
-                u, v = offer(held)
-                us, vs = us + u, vs + v
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-        dealt = rows.repartition("task", "a", "b").sortWithinPartitions("task", "a", "b")
-        return self._written(dealt.mapInArrow(run, "u long, v long"), "offers")
+        zero = F.lit(0)
+        light = kept.filter(F.col("weight") <= tile).select(F.col("key").alias("task"), zero.alias("a"), zero.alias("b"), zero.alias("tile"), "band", "cid", "root")
+        heavy = kept.filter(F.col("weight") > tile)
+        if not heavy.head(1):
+            return light
+        sizes = heavy.groupBy("key", "root").agg(F.sum("n").alias("w"))
+        mixed = sizes.groupBy("key").agg((F.coalesce(F.sum(F.when(F.col("w") < tile, F.col("w"))), F.lit(0)) / tile + 1).cast("int").alias("_mixed")).withColumnRenamed("key", "_k")
+        sized = sizes.join(mixed, F.col("key") == F.col("_k")).select(F.col("key").alias("_k"), F.col("root").alias("_r"), "w", "_mixed")
+        pure = F.col("w") >= tile
+        name = F.when(pure, F.concat_ws(":", "root", F.expr(f"pmod(xxhash64(cid), w div {tile} + 1)"))).otherwise(F.concat_ws(":", F.lit("m"), F.expr("pmod(xxhash64(root), _mixed)")))
+        own = heavy.join(sized, (F.col("key") == F.col("_k")) & (F.col("root") == F.col("_r"))).select("key", "band", "cid", "root", name.alias("name"), F.when(pure, F.col("root")).alias("only"))
+        names = own.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("name", "only"))).alias("tiles")).withColumnRenamed("key", "_k")  # a tile each, not a member
+        place = lambda c: F.array_position(F.transform("tiles", lambda t: t["name"]), c).cast("int")
+        others = F.filter("tiles", lambda t: t["only"].isNull() | F.col("only").isNull() | (t["only"] != F.col("only")))
+        each = own.join(names, F.col("key") == F.col("_k")).withColumn("tile", place(F.col("name"))).withColumn("o", F.explode(others)).withColumn("other", place(F.col("o.name")))
+        return light.union(each.select(F.col("key").alias("task"), F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "band", "cid", "root"))
 
     def _confirm(self, pairs: DataFrame) -> None:
         """Confirms pairs (u, v) on their full sets, and brings the components up to date."""
         pairs = self._written(pairs, "candidates")
         if not pairs.head(1):
             return
-        self.tested.append(pairs)
-        sets = self._written(self._shingles(pairs), "sets")
+        sets = self._written(self._shingles(pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct()), "sets")
         of = lambda c: sets.select(F.col("cid").alias(f"_{c}"), F.col("set").alias(f"s_{c}"))
         both = pairs.join(of("u"), F.col("u") == F.col("_u")).join(of("v"), F.col("v") == F.col("_v")).select("u", "v", "s_u", "s_v")
         percent = self.percent
@@ -302,16 +357,18 @@ class _Search:
                 same = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(same, pa.bool_()))
 
-        links = self._written(both.mapInArrow(run, "u long, v long"), "links")
+        self._connect(self._written(both.mapInArrow(run, "u long, v long"), "links"))
         dropped(sets)
-        if links.head(1):
+
+    def _connect(self, links: DataFrame | None) -> None:
+        if links is not None and links.head(1):
             edges = links if self.roots is None else self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)
             self.roots = self._written(connected_components(edges), "roots")
 
-    def _shingles(self, pairs: DataFrame) -> DataFrame:
-        """(cid, set): the full sets of the classes in pairs, sorted 64-bit values, from the one document of each
-        class that has its least id, or from any if it has no ids."""
-        needed = pairs.select("u").union(pairs.select("v")).distinct().join(self.classes.select("cid", "class", "least_id"), F.col("u") == F.col("cid")).select("cid", F.col("class").alias("_class"), "least_id")
+    def _shingles(self, cids: DataFrame) -> DataFrame:
+        """(cid, set): the full sets of classes, sorted 64-bit values, from the one document of each class that
+        has its least id, or from any if it has no ids."""
+        needed = cids.withColumnRenamed("cid", "_cid").join(self.classes.select("cid", "class", "least_id"), F.col("_cid") == F.col("cid")).select("cid", F.col("class").alias("_class"), "least_id")
         needed = self._written(needed, "needed")
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         rows = texts.join(small(needed.filter("least_id IS NOT NULL").select(F.col("least_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
@@ -343,14 +400,14 @@ class _Search:
             dropped(t)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, tile: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, tile: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document.
 
     Documents link if 100 * common shingles >= percent * all shingles of both; a component is the documents
     that links connect. Null and empty texts have no shingles, link with nothing, and keep their own id.
     Copies, also ones of equal id, are one class; a null id is in the component of its class, but never its
     name (kept is false unless the ids are equal). An empty table gives no rows. Extra columns don't matter.
-    No task compares more than ``tile`` squared pairs of a bucket, whatever its size.
+    A task compares the sets of two tiles of a bucket at most, each of about ``tile`` shingles (or one text's).
     """
     search = _Search(docs, size, percent, miss, tile)
     search.run()
@@ -360,7 +417,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
     return out
 
 
-def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, tile: int = 4096) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6, tile: int = 500_000) -> DataFrame:
     """The documents that stay, columns as given: of each component the one of the least id (of the least text
     hash, where ids are equal or all null), and every document without words. Of rows of equal id and text
     that stay only one does. What goes is joined back, not what stays."""
