@@ -12,11 +12,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Separators of alphanumeric words: every ASCII character but digits and lower-case letters.
-NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,17 +71,6 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z, every other character as it is; null as the empty text."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-
-
-def alnum_words(text: Column) -> Column:
-    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the lower-cased text, as an array of strings."""
-    spaced = F.trim(F.regexp_replace(lower_ascii(text), NON_WORD, " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
-
-
 def numbered_in_order(df: DataFrame, group: list[str], order: list[str], hashed: str, weight: str | None, out: str, per_bucket: int = 4096) -> DataFrame:
     """``df`` with ``out``: for each row the number of rows (or the sum of ``weight``) before it in its
     group, in the order of the columns ``order``, the first of which is the string ``hashed`` of

@@ -1,20 +1,23 @@
 """License scan by a positional index of rare license words, in SQL functions only.
 
-Every template is a sequence of words with a mandatory key phrase in it. Over the corpus each license word
-gets its document frequency; the key phrase is looked up by its word of the highest inverse document
-frequency. Each place of such a word in a text gives, by the word's position in the template, the place where
-the template would begin; the key phrase's other words must stand at their relative positions, and the share of
-all template words that do is the score. All lookups stay in the text's own row: nothing is shuffled.
+1. Every template is a sequence of words with a mandatory key phrase in it. The corpus gives each word of a key
+   phrase its document frequency, and the ``RARE`` words of the highest inverse document frequency of each
+   phrase are looked up. The index has their postings: by word, the phrases and the word's offset there.
+2. In a file, the postings of each license word that stands in it vote for the place where a phrase would begin,
+   by relative position. A place that all looked-up words of a phrase vote for is where their lists intersect.
+3. There the whole key phrase is verified, and the share of each of its templates' words that stand in their
+   places is the template's score.
+
+Index and templates are data, not code: their number doesn't change the plan. All lookups stay in the text's own
+row, so nothing is shuffled but the document frequencies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ascii_lower, lead, n_words, pieces
+from .words import alnum_words
 
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -35,69 +38,91 @@ TEMPLATES = (
 )
 #: A template counts from this share of its words on.
 LEAST = 0.6
+#: Words of a phrase that are looked up.
+RARE = 2
 
 
-def phrases() -> list[str]:
-    return sorted({*BASE, *(key for _, _, key in TEMPLATES)})
+def phrases(templates: tuple = TEMPLATES) -> list[str]:
+    return sorted({*BASE, *(key for _, _, key in templates)})
 
 
 def document_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
     """How many documents hold each of a fixed list of words (as many rows reach the driver at most)."""
-    found = F.array_distinct(F.filter(F.transform(pieces(F.col("text")), lambda w: F.when(F.lower(w).isin(words), F.lower(w))), lambda w: w.isNotNull()))
+    found = F.array_distinct(F.filter(alnum_words(F.col("text")), lambda w: w.isin(words)))
     return {r["w"]: r["n"] for r in docs.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
-def _places(phrase: str, anchor: str) -> Column:
-    """Where the phrase begins, counted in pieces, among the anchors' places ``_at``."""
-    words = phrase.split()
-    offset = words.index(anchor)
-
-    def stands(i: Column) -> Column:
-        ok = F.lit(True)
-        for j, w in enumerate(words):
-            ok &= F.coalesce(ascii_lower(F.get("_parts", i + (j - offset))) == w, F.lit(False))
-        return ok
-
-    return F.transform(F.filter("_at", stands), lambda i: i - offset)
+def index_of(keys: list[str], counts: dict[str, int]) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """(postings, votes): by word the (phrase, offset) pairs, and how many words of each phrase are looked up.
+    The lowest count is the highest inverse document frequency; ties go to the longer, then the first word."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    votes = []
+    for p, key in enumerate(keys):
+        words = key.split()
+        rare = sorted(set(words), key=lambda w: (counts.get(w, 0), -len(w), w))[:RARE]
+        votes.append(len(rare))
+        for w in rare:
+            postings.setdefault(w, []).append((p, words.index(w)))
+    return postings, votes
 
 
-def _shares(template: str, key: str) -> Callable[[Column], Column]:
-    """The share of the template's words at their places, if its key phrase begins at a given one."""
-    words = template.split()
-    first = next(i for i in range(len(words)) if words[i : i + len(key.split())] == key.split())
+def _literal(values: list, kind: str) -> Column:
+    """A constant array of SQL values."""
+    return F.array(*values).cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
-    def share(start: Column) -> Column:
-        hits = F.lit(0)
-        for j, w in enumerate(words):
-            hits += F.coalesce(ascii_lower(F.get("_parts", start + (j - first))) == w, F.lit(False)).cast("int")
-        return hits / float(len(words))
 
-    return share
+def _list(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row for each row.
 
     n_base counts all places of base phrases, overlapping ones too. Null and empty texts have no words,
-    no places, empty label lists, score 0 and null first and last word. Repeated rows are scanned each.
+    no places, empty label lists, score 0 and null first and last word. Repeated rows are scanned each, an
+    empty table gives no rows, and other columns don't matter.
     """
-    keys = phrases()
+    keys = phrases(templates)
     counts = document_frequencies(docs, sorted({w for p in keys for w in p.split()}))
-    # the highest inverse document frequency is the lowest count; ties go to the longer, then the first word
-    anchors = {p: min(p.split(), key=lambda w: (counts.get(w, 0), -len(w), w)) for p in keys}
-    wanted = sorted(set(anchors.values()))
-    parts = docs.select("doc_id", pieces(F.col("text")).alias("_parts"))
-    at = F.filter(F.transform("_parts", lambda w, i: F.when(F.lower(w).isin(wanted), i)), lambda i: i.isNotNull())
-    placed = parts.select("doc_id", "_parts", n_words(F.col("_parts")).alias("n_words"), lead(F.col("_parts")).alias("_lead"), at.alias("_at"))
-    name = {p: f"_p{i}" for i, p in enumerate(keys)}
-    found = placed.select("*", *[F.when(F.size("_at") > 0, _places(p, anchors[p])).otherwise(F.array().cast("array<int>")).alias(name[p]) for p in keys])
-    base = F.concat(*[F.col(name[p]) for p in BASE])
-    best = [F.coalesce(F.array_max(F.transform(name[key], _shares(template, key))), F.lit(0.0)) for _, template, key in TEMPLATES]
-    scored = found.select("*", base.alias("_base"), *[b.alias(f"_s{i}") for i, b in enumerate(best)])
-    base_labels = F.filter(F.array(*[F.when(F.size(name[p]) > 0, F.lit(label)) for p, label in BASE.items()]), lambda x: x.isNotNull())
-    labels = F.filter(F.array(*[F.when(F.col(f"_s{i}") >= LEAST, F.lit(label)) for i, (label, _, _) in enumerate(TEMPLATES)]), lambda x: x.isNotNull())
+    postings, votes = index_of(keys, counts)
+    names = sorted(postings)
+    by_word = F.create_map(*[x for w in names for x in (F.lit(w), _literal([F.struct(F.lit(p).alias("p"), F.lit(o).alias("o")) for p, o in postings[w]], "struct<p:int,o:int>"))])
+    key_words = F.array(*[_list(k.split()) for k in keys])
+    # the templates of a phrase: number, words, and where the phrase stands in them
+    of_key = [[(i, t.split(), _place(t.split(), k.split())) for i, (_, t, key) in enumerate(templates) if key == k] for k in keys]
+    template = "struct<i:int,words:array<string>,first:int>"
+    by_key = F.array(*[_literal([F.struct(F.lit(i).alias("i"), _list(ws).alias("words"), F.lit(f).alias("first")) for i, ws, f in ts], template) for ts in of_key])
+
+    split = docs.select("doc_id", alnum_words(F.col("text")).alias("_w"))
+    met = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(names), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    looked = split.select("doc_id", "_w", met.alias("_met"))
+    vote = F.array_sort(F.flatten(F.transform("_met", lambda x: F.transform(F.element_at(by_word, x["w"]), lambda p: F.struct(p["p"].alias("p"), (x["i"] - p["o"]).alias("start"))))))
+    voted = looked.select("doc_id", "_w", F.when(F.size("_met") > 0, vote).otherwise(F.array().cast("array<struct<p:int,start:int>>")).alias("_votes"))
+    # sorted votes: a place has all of a phrase's votes if the last of them stands where it should
+    needed = F.array(*[F.lit(v) for v in votes])
+    full = F.filter("_votes", lambda v, i: (F.get("_votes", i + F.get(needed, v["p"]) - 1) == v) & ((i == 0) | (F.get("_votes", i - 1) != v)))
+    whole = F.filter(full, lambda v: (v["start"] >= 0) & (F.slice("_w", F.greatest(v["start"], F.lit(0)) + 1, F.size(F.get(key_words, v["p"]))) == F.get(key_words, v["p"])))
+    placed = voted.select("doc_id", "_w", F.when(F.size("_votes") > 0, whole).otherwise(F.col("_votes")).alias("_at"))
+
+    def scores(v: Column) -> Column:
+        hit = lambda t: F.aggregate(F.transform(t["words"], lambda w, j: (F.coalesce(F.get("_w", v["start"] - t["first"] + j), F.lit("")) == w).cast("int")), F.lit(0), lambda s, x: s + x)
+        return F.transform(F.get(by_key, v["p"]), lambda t: F.struct(t["i"].alias("i"), (hit(t) / F.size(t["words"])).alias("score")))
+
+    some = F.size("_at") > 0
+    scored = placed.select("doc_id", F.size("_w").cast("long").alias("n_words"), "_at", F.when(some, F.flatten(F.transform("_at", scores))).otherwise(F.array().cast("array<struct<i:int,score:double>>")).alias("_scores"))
+    base = F.array(*[F.lit(BASE.get(k)) for k in keys])
+    named = scored.select("doc_id", "n_words", "_scores", F.filter("_at", lambda v: F.get(base, v["p"]).isNotNull()).alias("_base"))
+    label = F.array(*[F.lit(t[0]) for t in templates])
+    base_labels = F.transform("_base", lambda v: F.get(base, v["p"]))
+    labels = F.transform(F.filter("_scores", lambda s: s["score"] >= LEAST), lambda s: F.get(label, s["i"]))
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return scored.select(
-        "doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), (F.array_min("_base") - F.col("_lead")).cast("long").alias("first_word"), (F.array_max("_base") - F.col("_lead")).cast("long").alias("last_word"),
-        listed(base_labels).alias("base_labels"), listed(F.concat(base_labels, labels)).alias("labels"), F.greatest(*[F.col(f"_s{i}") for i in range(len(TEMPLATES))]).alias("score"),
+    starts = F.transform("_base", lambda v: v["start"])
+    return named.select(
+        "doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+        listed(base_labels).alias("base_labels"), listed(F.concat(base_labels, labels)).alias("labels"), F.coalesce(F.array_max(F.transform("_scores", lambda s: s["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+def _place(words: list[str], key: list[str]) -> int:
+    """Where the key phrase stands in the template."""
+    return next(i for i in range(len(words)) if words[i : i + len(key)] == key)
