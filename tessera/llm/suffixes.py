@@ -274,13 +274,18 @@ def _copies(packed: DataFrame, length: int) -> DataFrame:
             for block, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids, offsets, data = unpack(blob)
                 raw = data.tobytes()
-                some = [i for i in range(len(ids)) if offsets[i + 1] - offsets[i] >= length]
-                keys = [hashlib.blake2b(raw[offsets[i] : offsets[i + 1]], digest_size=16).digest() for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([int(ids[i]) for i in some], pa.int64()), pa.array(keys, pa.binary())], names=["block", "i", "id", "key"])
-
-    each = written(packed.select("block", "blob").mapInArrow(run, "block long, i int, id long, key binary"), "suffix-keys")
-    first = each.groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("most > least")
-    return each.join(first, F.col("key") == F.col("_key")).filter("id > least").groupBy("block").agg(F.sort_array(F.collect_set("i")).alias("copies"))
+                by: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(np.diff(offsets) >= length).tolist():
+                    by.setdefault(hashlib.blake2b(raw[offsets[i] : offsets[i + 1]], digest_size=16).digest(), []).append(i)
+                own = [ids[x] for x in by.values()]
+                columns = [pa.array([block] * len(by), pa.int64()), pa.array(list(by), pa.binary()), pa.array(list(by.values()), pa.list_(pa.int32())), pa.array([x.tolist() for x in own], pa.list_(pa.int64())), pa.array([int(x.min()) for x in own], pa.int64()), pa.array([int(x.max()) for x in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "key", "texts", "ids", "least", "most"])
+
+    # a row for each unlike text of a block, so copies of one text are as many rows as there are blocks
+    each = written(packed.select("block", "blob").mapInArrow(run, "block long, key binary, texts array<int>, ids array<long>, least long, most long"), "suffix-keys")
+    first = each.groupBy(F.col("key").alias("_key")).agg(F.min("least").alias("_least"), F.max("most").alias("_most")).filter("_most > _least")
+    met = each.join(first, F.col("key") == F.col("_key")).select("block", F.expr("transform(filter(arrays_zip(texts, ids), x -> x.ids > _least), x -> x.texts)").alias("copies"))
+    return met.groupBy("block").agg(F.sort_array(F.flatten(F.collect_list("copies"))).alias("copies")).filter("size(copies) > 0")
 
 
 def _less(found: tuple, known: pd.DataFrame) -> tuple:
