@@ -71,22 +71,42 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def numbered_in_order(df: DataFrame, group: list[str], order: list[str], hashed: str, weight: str | None, out: str, per_bucket: int = 4096) -> DataFrame:
+def numbered_in_order(df: DataFrame, group: list[str], order: list, hashed: str, weight: str | None, out: str, per_bucket: int = 4096, then: str | None = None) -> DataFrame:
     """``df`` with ``out``: for each row the number of rows (or the sum of ``weight``) before it in its
     group, in the order of the columns ``order``, the first of which is the string ``hashed`` of
     uniformly spread lower-case hex digits.
 
     No group is ever sorted in one task: rows fall into buckets by the leading hash digits, bucket totals
-    are summed first (with map-side partial sums), and only rows of one bucket meet in a window.
+    are summed first (with map-side partial sums), and only rows of one bucket meet in a window. A bucket of
+    too many rows, as of those without an id, is split by the leading digits of ``then``, a string of hex
+    digits by which rows of equal ``hashed`` are in order; what is left together is equal in both.
     A row's number depends on its values alone, so a recomputed task gives the same.
     """
     digits = max(1, min(13, _hex_digits(df.count() / per_bucket)))
     bucketed = df.withColumn("_bucket", F.substring(hashed, 1, digits))
     value = F.col(weight) if weight else F.lit(1).cast("long")
+    if then:
+        rows = bucketed.groupBy(*[F.col(g).alias(f"_h{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > 8 * per_bucket)
+        most = rows.agg(F.max("_n")).first()[0]
+        if most:
+            same = F.col("_bucket") == F.col("_hot")
+            for i, g in enumerate(group):
+                same &= F.col(g).eqNullSafe(F.col(f"_h{i}"))
+            finer = F.concat("_bucket", F.substring(hashed, digits + 1, 64), F.lit("/"), F.substring(then, 1, max(1, min(13, _hex_digits(most / per_bucket)))))
+            bucketed = bucketed.join(small(rows), same, "left").withColumn("_bucket", F.when(F.col("_n").isNull(), F.col("_bucket")).otherwise(finer)).drop("_hot", "_n", *[f"_h{i}" for i in range(len(group))])
     totals = bucketed.groupBy(*group, "_bucket").agg(F.sum(value).alias("_total"))
     return _offset(bucketed, totals, group, order, value, out)
 
 
+def copies_of(df: DataFrame, copies: str, block: int = 65_536) -> DataFrame:
+    """Each row as often as its column ``copies`` says, with ``_copy`` from 0; many copies of a row are made by
+    many tasks."""
+    blocks = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(block).cast("long"))))
+    if df.filter(F.col(copies) > block).head(1):
+        blocks = blocks.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+    return blocks.withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_from") + block, F.col(copies)) - 1))).drop("_from")
+
+
 def _hex_digits(parts: float) -> int:
     n, digits = 1, 0
     while n < parts:
