@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import numbered_in_order, written
+from .common import copies_of, numbered_in_order, small, written
 from .sharding import seeded_hash
+from .words import space_words
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -48,10 +49,10 @@ def apportion(targets: list[float], seats: int) -> list[int]:
     got = [0] * len(targets)
     if seats <= 0 or not any(t > 0 for t in targets):
         return got
-    below, above = 0.0, max(targets) * 2
+    below, above, all_targets = 0.0, max(targets) * 2, np.array(targets)
     for _ in range(200):
         t = (below + above) / 2
-        if t <= 0 or sum(int((x / t + 1) / 2) for x in targets) > seats:
+        if t <= 0 or np.floor((all_targets / t + 1) / 2).sum() > seats:
             below = t
         else:
             above = t
@@ -90,20 +91,25 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
     are documents of their own, an empty table gives no rows. Only narrow columns are shuffled; a hot
     source is split into buckets of the seeded hash.
     """
-    narrow = written(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).alias("_crc"), seeded_hash(F.col("doc_id"), seed).alias("_hash")),
-        "mixing-sizes",
-    )
-    plan = written(plan_sources(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs, block_tokens, n_shards), "mixing-plan").withColumnRenamed("source", "_of")
-    lined = numbered_in_order(narrow, ["source"], ["_hash", "doc_id", "_crc", "size"], "_hash", "size", "_at")
+    narrow = docs.select("doc_id", "source", F.size(space_words(F.col("text"))).cast("long").alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).alias("_crc"), _row_key(docs).alias("_key"), seeded_hash(F.col("doc_id"), seed).alias("_hash"))
+    # rows that are equal are counted, and stand next to each other in the line
+    narrow = written(narrow.groupBy(*narrow.columns).agg(F.count("*").alias("_copies")).withColumns({"_weight": F.col("size") * F.col("_copies"), "_then": F.lpad(F.lower(F.hex("_crc")), 8, "0")}), "mixing-sizes")
+    plan = written(plan_sources(narrow.groupBy("source").agg(F.sum("_weight").alias("source_size")), weights, share, max_epochs, block_tokens, n_shards), "mixing-plan").withColumnRenamed("source", "_of")
+    lined = numbered_in_order(narrow, ["source"], ["_hash", "doc_id", "_crc", "size", "_key"], "_hash", "_weight", "_at", then="_then")
+    lined = copies_of(lined, "_copies").withColumn("_at", F.col("_at") + F.col("_copy") * F.col("size"))
     words = F.least(F.col("blocks") * block_tokens, (F.col("source_size") * max_epochs).cast("long"))
     passes = F.when(F.col("source_size") > 0, F.expr("_words div source_size")).otherwise(0)
     rest = F.col("_words") - F.col("_passes") * F.col("source_size")
-    joined = lined.join(plan, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_words", words).withColumn("_passes", passes)
+    joined = lined.join(small(plan), F.col("source").eqNullSafe(F.col("_of"))).withColumn("_words", words).withColumn("_passes", passes)
     taken = F.col("_passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_at")))
     block = F.expr(f"_at div {block_tokens}L")
     shard = F.when(taken > 0, F.size(F.filter("quotas", lambda q: q <= block)) - 1)
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), shard.cast("int").alias("shard"), "source", "_crc")
+    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), shard.cast("int").alias("shard"), "source", "_key")
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """Rows of equal id and key are equal in all columns."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -114,16 +120,14 @@ def first_words(text: Column, n: Column) -> Column:
 
 def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of the mix: each document as often as it is taken in whole, and once more its first words
-    where a part of it is taken (n_chars counts that part). Columns as in ``docs``."""
-    key = ["_id", "_from", "_crc"]
-    each = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), "_crc", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    decided = written(each.groupBy(*key).agg(F.first("_size").alias("_size"), F.sort_array(F.collect_list("_taken")).alias("_takes")), "mixing-decided")
-    repeated = bool(decided.filter(F.size("_takes") > 1).head(1))
-    keyed = docs.withColumn("_crc32", F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)))
-    joined = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_crc32") == F.col("_crc")))
-    # rows of equal id, source and text share out what was taken of them
-    nth = F.row_number().over(W.partitionBy(*key).orderBy("text")) if repeated else F.lit(1)
-    joined = joined.withColumn("_nth", nth).withColumn("_taken", F.get("_takes", F.col("_nth") - 1)).filter("_taken > 0")
+    where a part of it is taken (n_chars counts that part). Columns as in ``docs``. Of rows that are equal in
+    all columns one text is joined with what each of them is taken."""
+    keyed = docs.withColumn("_row", _row_key(docs))
+    taken = written(mixed.filter("taken > 0").select(F.col("doc_id").alias("_id"), "_key", F.col("size").alias("_size"), F.col("taken").alias("_taken")), "mixing-taken")
+    if taken.groupBy("_id", "_key").count().filter("count > 1").head(1):
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        keyed = keyed.groupBy(F.col("doc_id").alias("_d"), "_row").agg(F.first(F.struct(*columns)).alias("_one")).select("_one.*", "_row")
+    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")))
     part = F.expr("int(_taken - _size * (_taken div _size))")
     copies = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(-1), F.expr("int(_taken div _size)")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
     cut = copies.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.greatest(F.col("_words"), F.lit(1)))))
