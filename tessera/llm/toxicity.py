@@ -35,12 +35,14 @@ from .common import as_bytes, written
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _RUN = b"~" * 40
 _MEMO = 400_000
+#: Tasks that the labelled rows of a fit are dealt to.
+TASKS = 32
 #: Words in a line that dictionaries are trained on.
 LINE = 8
 #: A word enters the toxic dictionary's training if it costs so many bytes more than others of its length ...
 EXCESS = (0.5, 1.0)
 #: ... and the toxic dictionary has so many bytes; all pairs are tried.
-TOXIC_BYTES = (2048, 4096, 8192)
+TOXIC_BYTES = (2048, 4096)
 #: Thresholds of a window's log-odds.
 STRONG = (1.0, 2.0, 3.0)
 FEATURES = 3 + len(STRONG)
@@ -77,12 +79,12 @@ class Lengths:
 class Memo(dict):
     """A function's values for words seen before, a bounded number of them."""
 
-    def __init__(self, f):
+    def __init__(self, f, most: int = _MEMO):
         super().__init__()
-        self.f = f
+        self.f, self.most = f, most
 
     def __missing__(self, word: bytes):
-        if len(self) >= _MEMO:
+        if len(self) >= self.most:
             self.clear()
         value = self[word] = self.f(word)
         return value
@@ -143,7 +145,8 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str, most_toxic: int,
     chosen = spark.createDataFrame([(r["_id"], r["y"], r["h"]) for r in rows], "_id long, y int, h long")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     once = found.groupBy(F.xxhash64("text").alias("_t"), "y").agg(F.min("h").alias("h"), F.first("text").alias("text"))
-    return written(once.select("text", "y", F.expr("int(pmod(h, 2))").alias("half"), F.expr("int(pmod(shiftright(h, 1), 2))").alias("fold")), "toxicity-sample")
+    # dealt out, so that a task of the fit holds about a thousand texts
+    return written(once.repartition(TASKS).select("text", "y", F.expr("int(pmod(h, 2))").alias("half"), F.expr("int(pmod(shiftright(h, 1), 2))").alias("fold")), "toxicity-sample")
 
 
 def _gathered(sample: DataFrame, y: int, most_bytes: int, keep=None) -> dict[int, list[bytes]]:
@@ -236,19 +239,24 @@ def _calibrate(sample: DataFrame, ordinary: dict, toxic: dict, tried: list[int])
                 cost = o[h].of(w)
                 return [_pack((min(16, len(w)), cost, t[c, h].of(w))) for c in tried]
 
-            return Memo(cells)
+            return Memo(cells, _MEMO // 8)
 
         memo = {h: cells_of(h) for h in (0, 1)}
+        names = ["choice", "half", "fold", "y", "n", "cells", "counts"]
         for b in batches:
-            out = []
-            for text, y, half, fold in zip(as_bytes(b["text"]), b["y"], b["half"], b["fold"], strict=True):
+            out: list[tuple] = []
+            for text, y, half, fold in zip(b["text"], b["y"], b["half"], b["fold"], strict=True):
+                text = (text or "").encode()
                 seen = Counter(w for w in words(text) if len(w) > 2)
                 each = [Counter() for _ in tried]
                 for w, n in seen.items():
                     for c, cell in zip(each, memo[1 - half][w], strict=True):
                         c[cell] += n
                 out += [(choice, half, fold, y, sum(seen.values()), list(c), list(c.values())) for choice, c in zip(tried, each, strict=True)]
-            yield pd.DataFrame(out, columns=["choice", "half", "fold", "y", "n", "cells", "counts"])
+                if len(out) >= 1000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     cells = written(sample.mapInPandas(celled, "choice int, half int, fold int, y int, n long, cells array<int>, counts array<long>"), "toxicity-cells")
     each = cells.select("choice", "half", "fold", "y", F.explode(F.arrays_zip("cells", "counts")).alias("c")).groupBy("choice", "half", "fold", "y", "c.cells").agg(F.sum("c.counts").alias("n"))
