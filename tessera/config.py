@@ -12,7 +12,8 @@ DEFAULTS: dict = {
     "labels": {"upper": 2.0, "lower": 2.0, "bars": 43, "span": 50, "discard_vertical": False, "min_return": 0.0},
     "validation": {"groups": 10, "test_groups": 2, "embargo_days": 5, "folds": 5},
     "bets": {"min_probability": 0.49, "cap": 0.05, "method": "half_kelly"},
-    "portfolio": {"leg": "top_decile", "weighting": "conviction", "max_name": 0.05, "max_sector": 0.30, "long_only": True},
+    "neutralization": {"enabled": True, "exposures": ["sector", "size", "beta"], "proportion": 1.0},
+    "portfolio": {"leg": "top_decile", "short_leg": "bottom_decile", "weighting": "conviction", "max_name": 0.05, "max_sector": 0.30, "long_only": True},
     "execution": {"stagger_days": 5, "cost_bps": 7.5},
     "reporting": {"bull": 0.10, "bear": -0.10, "window": 126},
 }

@@ -45,7 +45,8 @@ def replay(weights: DataFrame, prices: DataFrame, stagger: int = 5, cost_bps: fl
     active = new.select(*by, "_reb", "_k", "date", "_f").union(old).join(named, [*by, "_k"])
     ret = daily_returns(prices)
     gross = active.join(ret, ["date", "ticker"], "left").groupBy(*by, "date").agg(F.sum(F.col("weight") * F.col("_f") * F.coalesce("ret", F.lit(0.0))).alias("gross"))
-    costs = turnover(weights, cost_bps, by).withColumnRenamed("date", "_reb").join(reb.select(*by, "_reb"), [*by, "_reb"])
+    # against the portfolio that was held: a skipped rebalance changed nothing
+    costs = turnover(held.select(*by, "date", "ticker", "weight"), cost_bps, by).withColumnRenamed("date", "_reb")
     # cost days: dates are few, so each rebalance lists the days of its month
     month = costs.withColumn("date", F.explode(F.sequence("_reb", F.date_sub(F.add_months("_reb", 1), 1))))
     paid = month.join(gross.select(*by, "date"), [*by, "date"])
@@ -55,12 +56,21 @@ def replay(weights: DataFrame, prices: DataFrame, stagger: int = 5, cost_bps: fl
 
 
 def equity(returns: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``returns`` (date, ret) with wealth (growth of 1) and drawdown from its highest value so far."""
+    """``returns`` (date, ret) with wealth (growth of 1) and drawdown from its highest value so far. After a loss
+    of all there is no wealth; a null return changes nothing."""
     w = (W.partitionBy(*by) if by else W.partitionBy(F.lit("all"))).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    grown = returns.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(w)))
+    grown = returns.withColumn("wealth", growth(w))
     return grown.withColumn("drawdown", F.col("wealth") / F.max("wealth").over(w) - 1)
 
 
+def growth(w=None, ret: str = "ret") -> Column:
+    """The product of 1 + ret over a window, or over a group: 0 from a return of -1 or below on."""
+    over = (lambda x: x) if w is None else (lambda x: x.over(w))
+    r = F.col(ret)
+    lost = over(F.max(F.when(r <= -1, 1).otherwise(0)))
+    return F.when(lost == 1, 0.0).otherwise(F.exp(F.coalesce(over(F.sum(F.when(r > -1, F.log1p(r)))), F.lit(0.0))))
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(F.abs(b) > TINY, a / b).otherwise(0.0)
 
@@ -70,13 +80,13 @@ def performance(returns: DataFrame, by: tuple[str, ...] = (), risk_free: float =
     r = F.col("ret")
     month = F.expr("year(date) * 12 + month(date)")
     months = returns.groupBy(*by, month.alias("_m")).agg(F.sum("ret").alias("_r")).groupBy(*by).agg((F.count_if(F.col("_r") > 0) / (F.max("_m") - F.min("_m") + 1)).alias("monthly_positive_pct"))
-    base = equity(returns, by).groupBy(*by).agg(F.sum(F.log1p("ret")).alias("_log"), (F.stddev_samp(r) * math.sqrt(252)).alias("annualized_volatility"), (F.stddev_samp(F.when(r < 0, r)) * math.sqrt(252)).alias("_down"), F.min("drawdown").alias("max_drawdown"), F.avg((r > 0).cast("double")).alias("daily_hit_rate"), F.count("*").alias("n_days"))
-    annual = F.exp(F.col("_log") * 252 / F.col("n_days")) - 1
+    base = equity(returns, by).groupBy(*by).agg(growth().alias("_grown"), (F.stddev_samp(r) * math.sqrt(252)).alias("annualized_volatility"), (F.stddev_samp(F.when(r < 0, r)) * math.sqrt(252)).alias("_down"), F.min("drawdown").alias("max_drawdown"), F.avg((r > 0).cast("double")).alias("daily_hit_rate"), F.count("*").alias("n_days"))
+    annual = F.pow("_grown", 252 / F.col("n_days")) - 1
     full = base.withColumn("annualized_return", annual)
     excess = F.col("annualized_return") - risk_free
     joined = full.join(months, list(by)) if by else full.crossJoin(months)  # one row each
     return joined.select(
-        *by, (F.exp("_log") - 1).alias("total_return"), "annualized_return", "annualized_volatility", _ratio(excess, F.coalesce("annualized_volatility", F.lit(0.0))).alias("sharpe_ratio"), _ratio(excess, F.coalesce("_down", F.lit(0.0))).alias("sortino_ratio"),
+        *by, (F.col("_grown") - 1).alias("total_return"), "annualized_return", "annualized_volatility", _ratio(excess, F.coalesce("annualized_volatility", F.lit(0.0))).alias("sharpe_ratio"), _ratio(excess, F.coalesce("_down", F.lit(0.0))).alias("sortino_ratio"),
         "max_drawdown", _ratio(F.col("annualized_return"), F.abs("max_drawdown")).alias("calmar_ratio"), "daily_hit_rate", "monthly_positive_pct", "n_days",
     )
 

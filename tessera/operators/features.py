@@ -62,6 +62,44 @@ def fundamental(merged: DataFrame) -> DataFrame:
     })
 
 
+def coerced(df: DataFrame, numbers: list[str] = (), dates: list[str] = ()) -> DataFrame:
+    """``df`` with text columns as numbers and dates; what isn't one is null, and so is NaN. A missing column is
+    added as null."""
+    have = set(df.columns)
+    number = {c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")) if c in have else F.lit(None).cast("double") for c in numbers}
+    date = {c: F.col(c).try_cast("date") if c in have else F.lit(None).cast("date") for c in dates}
+    return df.withColumns(number | date)
+
+
+def numeric_columns(df: DataFrame, leave: tuple[str, ...] = ()) -> list[str]:
+    """The names of the numeric columns, by their types."""
+    from pyspark.sql.types import NumericType
+
+    return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in leave]
+
+
+def long_prices(wide: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close", "adj_close", "volume"), by: str = "date", between: str = "|") -> DataFrame:
+    """date, ticker and a column for each field, from a column for each field and ticker (``open|ABC``). Rows of
+    which nothing is known are left out."""
+    pairs: dict[str, dict[str, str]] = {}
+    for c in wide.columns:
+        field, _, ticker = c.partition(between)
+        if ticker and field in fields:
+            pairs.setdefault(ticker, {})[field] = c
+    row = [F.struct(F.lit(t).alias("ticker"), *[(F.col(f"`{cs[f]}`") if f in cs else F.lit(None)).cast("double").alias(f) for f in fields]) for t, cs in sorted(pairs.items())]
+    return wide.select(by, F.explode(F.array(*row)).alias("r")).select(by, "r.*").dropna(how="all", subset=list(fields))
+
+
+def feature_pipeline(prices: DataFrame, merged: DataFrame | None, cfg: dict, raw: tuple[str, ...] = ()) -> DataFrame:
+    """date, ticker and all features standardised by date: technical factors, and ratios (with the ``raw``
+    columns) of the point-in-time panel ``merged`` where one is given. The columns are found by their types."""
+    made = technical(prices, cfg)
+    if merged is not None:
+        made = made.join(fundamental(merged).select("date", "ticker", *raw, *RATIOS), ["date", "ticker"], "left")
+    c = cfg["preprocessing"]
+    return zscore_columns(made, numeric_columns(made), c["limit"], c["tail"])
+
+
 def zscores(df: DataFrame, columns: list[str], limit: float = 3.0, tail: float = 0.01, keys: tuple[str, ...] = ("date", "ticker")) -> DataFrame:
     """(date, ticker, feature, z): values standardised by the mean and population deviation of the date's
     winsorised values, cut at ±limit. A date without spread has 0 everywhere, also where the value is null.

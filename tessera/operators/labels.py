@@ -24,8 +24,9 @@ def triple_barrier(prices: DataFrame, cfg: dict, entry=month_ends) -> DataFrame:
     """ticker, entry_date, label, t_barrier, return_at_touch, barrier_type, ewma_vol, upper_barrier,
     lower_barrier, entry_price, label_binary.
 
-    The path after an entry is a bounded window of bars, gathered for entry rows; the first bar at or beyond
-    a barrier decides, the upper one first on the same bar, else the sign of the return at the last bar.
+    An entry is joined with the bars of its path by their numbers, so bars that enter nothing gather nothing; the
+    first bar at or beyond a barrier decides, the upper one first on the same bar, else the sign of the return
+    at the last bar.
     """
     c = cfg["labels"]
     bars, span = c["bars"], c["span"]
@@ -34,13 +35,15 @@ def triple_barrier(prices: DataFrame, cfg: dict, entry=month_ends) -> DataFrame:
     p = F.col("adj_close")
     base = prices.select("ticker", "date", "adj_close").withColumn("_r", F.abs(F.log(F.try_divide(p, lagged(p, 1)))))
     vol = ewm_mean(base, F.col("_r"), span, "ewma_vol")
-    path = F.collect_list(F.struct("date", "adj_close")).over(order.rowsBetween(1, bars))
-    placed = vol.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(by), "_path": F.when(entry(F.col("date")), path)})
+    placed = vol.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(by)})
     entries = placed.filter(entry(F.col("date")) & (F.col("_n") >= span + bars + 10) & (F.col("_i") >= span) & (F.col("_i") + bars < F.col("_n")) & (F.col("ewma_vol") > 0))
     reach = F.col("ewma_vol") * math.sqrt(bars)
     walled = entries.withColumns({"upper_barrier": p * (1 + c["upper"] * reach), "lower_barrier": p * (1 - c["lower"] * reach)})
-    hit = F.get(F.filter("_path", lambda e: (e["adj_close"] >= F.col("upper_barrier")) | (e["adj_close"] <= F.col("lower_barrier"))), F.lit(0))
-    touched = walled.withColumns({"_hit": hit, "_last": F.element_at("_path", -1)}).withColumn("_end", F.coalesce("_hit", "_last"))
+    path = walled.select("ticker", F.col("_i").alias("_entry"), "upper_barrier", "lower_barrier", F.explode(F.sequence(F.col("_i") + 1, F.col("_i") + bars)).alias("_i"))
+    numbered = prices.select("ticker", F.struct("date", "adj_close").alias("_bar"), (F.row_number().over(order) - 1).alias("_i"))
+    beyond = (F.col("_bar.adj_close") >= F.col("upper_barrier")) | (F.col("_bar.adj_close") <= F.col("lower_barrier"))
+    met = path.join(numbered, ["ticker", "_i"]).groupBy("ticker", "_entry").agg(F.min_by("_bar", F.when(beyond, F.col("_i"))).alias("_hit"), F.max_by("_bar", "_i").alias("_last"))
+    touched = walled.join(met.withColumnRenamed("_entry", "_i"), ["ticker", "_i"]).withColumn("_end", F.coalesce("_hit", "_last"))
     ret = (F.col("_end.adj_close") - p) / p
     kind = F.when(F.col("_hit").isNull(), "vertical").when(F.col("_hit.adj_close") >= F.col("upper_barrier"), "upper").otherwise("lower")
     named = touched.withColumns({"return_at_touch": ret, "barrier_type": kind})
@@ -52,6 +55,12 @@ def triple_barrier(prices: DataFrame, cfg: dict, entry=month_ends) -> DataFrame:
     return out.filter(~(vertical & (F.abs("return_at_touch") < c["min_return"])))
 
 
+def run_labeling(prices: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame]:
+    """(labels, their summary by barrier type): labels at month ends or, if set so, on Fridays."""
+    found = triple_barrier(prices, cfg, fridays if cfg["labels"].get("entries") == "weekly" else month_ends)
+    return found, label_summary(found)
+
+
 def label_summary(labels: DataFrame) -> DataFrame:
     """Labels of each barrier type, a column for each label."""
     wide = labels.groupBy("barrier_type").pivot("label", [-1, 0, 1]).count().na.fill(0)

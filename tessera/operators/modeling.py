@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from .portfolio import bet_size
 from .reports import probability_scores
-from .splits import expanding_folds, purged_folds, three_way
+from .splits import early_stop_carve, expanding_folds, purged_folds, three_way
 
 
-def primary_model(features: list[str], label: str = "label_binary", rounds: int = 20, depth: int = 4, seed: int = 42) -> Pipeline:
-    """Gradient-boosted trees for the direction."""
-    trees = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.7, featureSubsetStrategy="0.6", minInstancesPerNode=20, seed=seed)
+def primary_model(features: list[str], label: str = "label_binary", rounds: int = 20, depth: int = 4, seed: int = 42, monitor: str | None = None, step: float = 0.1) -> Pipeline:
+    """Gradient-boosted trees for the direction. With ``monitor``, a boolean column, boosting stops when the rows
+    that it marks get no better."""
+    trees = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.7, featureSubsetStrategy="0.6", minInstancesPerNode=20, seed=seed)
+    if monitor:
+        trees = trees.setValidationIndicatorCol(monitor).setValidationTol(0.001)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees])
 
 
@@ -80,7 +83,8 @@ def two_stage(rows: DataFrame, features: list[str], cfg: dict) -> DataFrame:
     trained on whether out-of-fold directions were right, for the conviction."""
     data = three_way(matrix(rows, features), 0.8, 0.85).cache()
     train = data.filter("part = 'train'")
-    primary = primary_model(features).fit(train)
+    # the last tenth of the training rows watches the fit
+    primary = primary_model(features, monitor="monitor").fit(early_stop_carve(train))
     numbered = expanding_folds(train, cfg["validation"]["folds"]).cache()
     parts = None
     for k in range(1, cfg["validation"]["folds"]):

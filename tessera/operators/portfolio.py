@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import TINY, clip, pct_rank
 
-LEGS = {"top_decile": (0.9, 0.1), "top_vigintile": (0.95, 0.2), "top_quintile": (0.8, 0.2)}
+#: The least rank of a long leg, and the largest of a short one.
+LEGS = {"top_decile": 0.9, "top_vigintile": 0.95, "top_quintile": 0.8}
+SHORT_LEGS = {"bottom_decile": 0.1, "bottom_quintile": 0.2}
+
+
+def finite(x: str) -> Column:
+    """Whether a number is neither null nor NaN nor infinite."""
+    c = F.col(x).cast("double")
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
 def bet_size(direction: Column, probability: Column, method: str | Column, least: float | Column, cap: float | Column) -> Column:
@@ -20,16 +28,17 @@ def bet_size(direction: Column, probability: Column, method: str | Column, least
 
 
 def rank_portfolio(scores: DataFrame, cfg: dict, by: tuple[str, ...] = ("date",), compat: bool = False) -> DataFrame:
-    """``scores`` (date, ticker, sector, score) with weight, for rows with a score.
+    """``scores`` (date, ticker, sector, score) with weight, for rows with a finite score. Where all scores of a leg
+    are 0, conviction gives no weight (0 / 0 counts as 0).
 
     The top of the ranks (and the bottom, unless long only) is weighted by score or equally, scaled to a sum
     of 1 a side, cut at the name's cap, scaled to the sector's cap and scaled to 1 again; caps needn't hold
     after that last step. ``compat`` divides short weights by minus their sum, which turns them positive.
     """
     c = cfg["portfolio"]
-    top, bottom = LEGS[c["leg"]]
+    top, bottom = LEGS[c["leg"]], SHORT_LEGS[c["short_leg"]]
     day = W.partitionBy(*by)
-    ranked = scores.filter(F.col("score").isNotNull()).withColumn("_rank", pct_rank("score", *by))
+    ranked = scores.filter(finite("score")).withColumn("_rank", pct_rank("score", *by))
     long, short = F.col("_rank") >= top, (F.col("_rank") <= bottom) & F.lit(not c["long_only"])
     if c["weighting"] == "conviction":
         part = lambda leg: F.try_divide(F.col("score"), F.sum(F.when(leg, F.abs("score"))).over(day))
@@ -74,20 +83,22 @@ def market_impact(trades: DataFrame, nav: float = 1e8) -> DataFrame:
 def neutral_to_sector(scores: DataFrame, proportion: float = 1.0) -> DataFrame:
     """``scores`` with neutral: the residual on sector dummies without the first sector of the date (whose
     rows keep their score), divided by the date's population deviation."""
+    scores = scores.filter(finite("score"))
     day = W.partitionBy("date")
     mean = F.avg("score").over(W.partitionBy("date", "sector"))
     first = F.col("sector") == F.min("sector").over(day)
     residual = F.when(first, F.col("score")).otherwise(F.col("score") - proportion * mean)
-    return _scaled(scores.filter(F.col("score").isNotNull()).withColumn("_e", residual))
+    return _scaled(scores.withColumn("_e", residual))
 
 
 def neutral_to_factor(scores: DataFrame, factor: str, proportion: float = 1.0) -> DataFrame:
     """``scores`` with neutral: the residual on one numeric exposure through the origin, a null one counting
     as 0, divided by the date's population deviation."""
+    scores = scores.filter(finite("score"))
     day = W.partitionBy("date")
-    e = F.coalesce(F.col(factor), F.lit(0.0))
+    e = F.when(finite(factor), F.col(factor)).otherwise(0.0)
     beta = F.coalesce(F.try_divide(F.sum(e * F.col("score")).over(day), F.sum(e * e).over(day)), F.lit(0.0))
-    return _scaled(scores.filter(F.col("score").isNotNull()).withColumn("_e", F.col("score") - proportion * beta * e))
+    return _scaled(scores.withColumn("_e", F.col("score") - proportion * beta * e))
 
 
 def _scaled(df: DataFrame) -> DataFrame:
@@ -95,6 +106,14 @@ def _scaled(df: DataFrame) -> DataFrame:
     return df.withColumn("neutral", F.when(spread >= TINY, F.col("_e") / spread).otherwise(F.col("_e"))).drop("_e")
 
 
+def exposure_matrix(rows: pd.DataFrame, levels: list[str], numeric: list[str]):
+    """The exposures of a date's rows: dummies of the sector levels and the numeric ones, 0 where they aren't finite."""
+    import numpy as np
+
+    columns = [(rows["sector"] == v).to_numpy(float) for v in levels] + [np.nan_to_num(rows[c].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0) for c in numeric]
+    return np.column_stack(columns) if columns else np.zeros((len(rows), 0))
+
+
 def neutralise(scores: DataFrame, numeric: list[str], proportion: float = 1.0) -> DataFrame:
     """``scores`` (date, ticker, sector, score, numeric exposures) with neutral, by the pseudo-inverse of the
     date's exposures: dummies of its sectors without the first, and the numeric ones. One date is one task's
@@ -104,12 +123,12 @@ def neutralise(scores: DataFrame, numeric: list[str], proportion: float = 1.0) -
     def residual(rows: pd.DataFrame) -> pd.DataFrame:
         s = rows["score"].to_numpy(float)
         levels = sorted(rows["sector"].dropna().unique())[1:]
-        e = np.column_stack([*[(rows["sector"] == v).to_numpy(float) for v in levels], *[rows[c].fillna(0).to_numpy(float) for c in numeric]]) if levels or numeric else np.zeros((len(s), 0))
+        e = exposure_matrix(rows, levels, numeric)
         out = s - proportion * (e @ (np.linalg.pinv(e) @ s)) if e.shape[1] else s
         spread = out.std()
         return rows.assign(neutral=out / spread if spread > TINY else out)
 
-    kept = scores.select("date", "ticker", "sector", "score", *numeric).filter(F.col("score").isNotNull())
+    kept = scores.select("date", "ticker", "sector", "score", *numeric).filter(finite("score"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.groupBy("date").applyInPandas(residual, f"{schema}, neutral double")
 
@@ -124,6 +143,18 @@ def exposure_slopes(neutral: DataFrame, exposures: list[str]) -> DataFrame:
     return neutral.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
 
+def run_neutralization(scores: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame | None]:
+    """(``scores`` with neutral, the check of the numeric exposures over all dates): each date by itself. Where
+    neutralisation is disabled the score passes through, and there is no check."""
+    c = cfg["neutralization"]
+    if not c["enabled"]:
+        return scores.withColumn("neutral", F.col("score")), None
+    numeric = [e for e in c["exposures"] if e != "sector"]
+    given = scores if "sector" in c["exposures"] else scores.withColumn("sector", F.lit("all"))
+    out = neutralise(given, numeric, c["proportion"])
+    return out, slope_p_values(exposure_slopes(out, numeric))
+
+
 def slope_p_values(slopes: DataFrame) -> DataFrame:
     """``slopes`` with p: two-sided, from the t statistic, by the regularised incomplete beta function."""
     @F.pandas_udf("double")

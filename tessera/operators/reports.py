@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .backtest import growth
+
+#: Stretches of the range of probabilities.
+STRETCHES = 65_535
+
 
 def coverage_by_month(df: DataFrame, features: list[str]) -> DataFrame:
     """(month, feature, share): share of known values of each feature by month."""
@@ -79,19 +84,71 @@ def probability_scores(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFra
     base = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("_bin", F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)))
     by = base.groupBy("_bin").agg(F.count("*").alias("n"), F.avg(p).alias("p"), F.avg(y).alias("y"))
     ece = by.agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"))
-    # rank sums by distinct probability: totals below a value come from a window over distinct values
-    values = base.groupBy(p).agg(F.sum(y).alias("_pos"), F.sum(1 - F.col(y)).alias("_neg"))
-    below = F.coalesce(F.sum("_neg").over(W.orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    auc = values.withColumn("_below", below).agg(F.try_divide(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)), F.sum("_pos") * F.sum("_neg")).alias("auc"))
+    # rank sums by distinct probability: the values below come from totals of stretches of the range, and from a
+    # window within a stretch, so no task orders all values
+    ends = base.agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"))
+    place = F.coalesce(F.floor(F.try_divide(F.col(p) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * STRETCHES), F.lit(0))
+    values = base.groupBy(p).agg(F.sum(y).alias("_pos"), F.sum(1 - F.col(y)).alias("_neg")).crossJoin(F.broadcast(ends)).withColumn("_s", place)  # one row
+    totals = values.groupBy("_s").agg(F.sum("_neg").alias("_n")).select(F.col("_s").alias("_t"), F.coalesce(F.sum("_n").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_neg").over(W.partitionBy("_s").orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    below = F.col("_before") + F.col("_inside")
+    auc = values.withColumn("_inside", inside).join(totals, F.col("_s") == F.col("_t")).withColumn("_below", below).agg(F.try_divide(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)), F.sum("_pos") * F.sum("_neg")).alias("auc"))
     one = base.agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"), (F.avg(y) * (1 - F.avg(y))).alias("climatology"), (-F.avg(F.col(y) * F.log(clipped) + (1 - F.col(y)) * F.log(1 - clipped))).alias("logloss"))
     return one.crossJoin(ece).crossJoin(auc)  # one row each
 
 
+def strong_pairs(pairs: DataFrame, least: float = 0.7) -> DataFrame:
+    """The pairs of ``correlations`` whose size is above ``least``, the strongest first."""
+    return pairs.filter(F.abs("r") > least).orderBy(F.desc(F.abs("r")), "a", "b")
+
+
+def waterfall(explained: DataFrame, features: list[str], key: str, n: int = 10) -> DataFrame:
+    """(key, place, feature, contribution, start, end): the data of a waterfall plot of each row of
+    ``explained`` (key, contributions), its n largest contributions by size and the sum of the others."""
+    named = F.transform("contributions", lambda x, i: F.struct((-F.abs(x)).alias("size"), i.alias("i"), x.alias("x")))
+    sorted_ = explained.select(key, F.array_sort(named).alias("_s"))
+    top = F.transform(F.slice("_s", 1, n), lambda s: F.struct(F.element_at(F.array(*[F.lit(f) for f in features]), s["i"] + 1).alias("feature"), s["x"].alias("x")))
+    rest = F.aggregate(F.slice("_s", n + 1, max(1, len(features))), F.lit(0.0), lambda a, s: a + s["x"])
+    each = sorted_.select(key, F.when(F.size("_s") > n, F.concat(top, F.array(F.struct(F.lit("others").alias("feature"), rest.alias("x"))))).otherwise(top).alias("_t"))
+    bars = each.select(key, "_t", F.posexplode("_t").alias("place", "b"))
+    upto = lambda k: F.aggregate(F.slice("_t", 1, k), F.lit(0.0), lambda a, s: a + s["x"])
+    return bars.select(key, "place", F.col("b.feature").alias("feature"), F.col("b.x").alias("contribution"), upto(F.col("place")).alias("start"), upto(F.col("place") + 1).alias("end"))
+
+
+def interaction(rows: DataFrame, explained: DataFrame, features: list[str], key: str, one: str, other: str) -> DataFrame:
+    """(key, x, contribution, other): the data of a dependence plot, a feature's value and contribution and the
+    value of another feature."""
+    at = features.index(one)
+    return rows.select(key, F.col(one).alias("x"), F.col(other).alias("other")).join(explained.select(key, F.col("contributions")[at].alias("contribution")), key).select(key, "x", "contribution", "other")
+
+
+def split_summary(split: DataFrame, label: str = "label_binary") -> DataFrame:
+    """(part, n, first, last, rate): rows, dates and share of label 1 of each part of a split."""
+    return split.groupBy("part").agg(F.count("*").alias("n"), F.min("entry_date").alias("first"), F.max("entry_date").alias("last"), F.avg(label).alias("rate"))
+
+
+def filter_rate(bets: DataFrame, bet: str = "bet") -> DataFrame:
+    """(n, kept, rate): how many bets aren't 0."""
+    kept = F.count_if(F.col(bet) != 0)
+    return bets.agg(F.count("*").alias("n"), kept.alias("kept"), F.try_divide(kept, F.count("*")).alias("rate"))
+
+
+def side_by_side(strategy: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(figure, strategy, benchmark): the figures of ``backtest.performance`` of both."""
+    from .backtest import performance
+
+    both = strategy.select(F.lit("strategy").alias("who"), "date", "ret").union(benchmark.select(F.lit("benchmark"), "date", "ret"))
+    figures = performance(both, ("who",))
+    names = [c for c in figures.columns if c != "who"]
+    long = figures.select("who", *[F.col(c).cast("double") for c in names]).unpivot(["who"], names, "figure", "x")
+    return long.groupBy("figure").pivot("who", ["strategy", "benchmark"]).agg(F.first("x"))
+
+
 def against_benchmark(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(date, wealth, benchmark_wealth): growth of 1 of both; a day that the benchmark lacks counts as 0."""
     w = W.partitionBy(F.lit("all")).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     both = returns.select("date", "ret").join(benchmark.select("date", F.col("ret").alias("_b")), "date", "left").withColumn("_b", F.coalesce("_b", F.lit(0.0)))
-    return both.select("date", F.exp(F.sum(F.log1p("ret")).over(w)).alias("wealth"), F.exp(F.sum(F.log1p("_b")).over(w)).alias("benchmark_wealth"))
+    return both.select("date", growth(w).alias("wealth"), growth(w, "_b").alias("benchmark_wealth"))
 
 
 def rebalance_listing(weights: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rolling import position
+from ..sources.stages import kept
 
 
 def time_groups(labels: DataFrame, groups: int) -> DataFrame:
@@ -28,7 +29,8 @@ def purged_folds(labels: DataFrame, groups: int = 10, test_groups: int = 2, emba
     others numbered from 0 in the order of their groups.
     """
     spark = labels.sparkSession
-    grouped = time_groups(labels, groups)
+    # what makes the labels is long, and boundaries, folds and result all need them
+    grouped = kept(time_groups(kept(labels.select("ticker", "entry_date", "t_barrier"), "labels"), groups), "groups")
     edge = {r["g"]: (r["start"], r["end"]) for r in boundaries(grouped).collect()}  # one row a group
     rows = [(i, list(c), min(edge[g][0] for g in c), [edge[g][1] for g in c]) for i, c in enumerate(combinations(range(groups), test_groups)) if all(g in edge for g in c)]
     folds = spark.createDataFrame(rows, "combo int, tests array<int>, first date, ends array<date>")
@@ -64,3 +66,9 @@ def three_way(labels: DataFrame, train: float = 0.8, validation: float = 0.85) -
     """train up to the first cutoff, validation up to the second, test after it."""
     a, b = cutoff(labels, "entry_date", "ticker", train), cutoff(labels, "entry_date", "ticker", validation)
     return labels.withColumn("part", F.when(F.col("entry_date") <= F.lit(a), "train").when(F.col("entry_date") <= F.lit(b), "validation").otherwise("test"))
+
+
+def early_stop_carve(train: DataFrame, share: float = 0.9, date: str = "entry_date", ties: str = "ticker") -> DataFrame:
+    """``train`` with monitor: true for rows after the date at place floor(share n), which watch a fit."""
+    a = cutoff(train, date, ties, share)
+    return train.withColumn("monitor", F.coalesce(F.col(date) > F.lit(a), F.lit(False)))

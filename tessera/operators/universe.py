@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 #: The tags of each metric, by priority.
 TAGS = {
-    "revenue": ["Revenues", "SalesRevenueNet"],
+    "revenue": ["Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueNet", "SalesRevenueGoodsNet"],
     "net_income": ["NetIncomeLoss"],
     "total_assets": ["Assets"],
+    "total_liabilities": ["Liabilities"],
+    "stockholders_equity": ["StockholdersEquity", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"],
+    "operating_cash_flow": ["NetCashProvidedByUsedInOperatingActivities", "NetCashProvidedByUsedInOperatingActivitiesContinuingOperations"],
 }
 
 

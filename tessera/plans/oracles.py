@@ -94,8 +94,8 @@ CTE: dict[str, tuple[list[str], str]] = {
     "fold": (["role"], """
         SELECT dense_rank() OVER (ORDER BY c) - 1 AS fold, ticker, entry_date, t_barrier, role FROM role WHERE c IN (SELECT c FROM role GROUP BY c HAVING count(*) FILTER (role = 'train') > 0 AND count(*) FILTER (role = 'test') > 0)"""),
     "named": (["xs"], "SELECT 'S.' || ticker AS name, ticker, min(date) AS a, arg_min(sector, date) AS sector FROM xs GROUP BY ticker"),
-    "change": (["named"], "SELECT replace(name, '.', '-') AS ticker, last_day(last_day(a) + to_months(CAST(ticker % 24 + 6 AS INTEGER))) AS month, ticker % 2 = 0 AS removal FROM named WHERE last_day(a + to_months(CAST(ticker % 24 + 6 AS INTEGER))) <= DATE '1999-12-31'"),
-    "month": ([], "SELECT last_day(CAST(d AS DATE)) AS date FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS d)"),
+    "change": (["named"], "SELECT replace(name, '.', '-') AS ticker, last_day(last_day(a) + to_months(CAST(ticker % 24 + 6 AS INTEGER))) AS month, ticker % 2 = 0 AS removal FROM named WHERE last_day(a + to_months(CAST(ticker % 24 + 6 AS INTEGER))) <= (SELECT last_day(CAST(max(l_shipdate) AS DATE)) FROM lineitem)"),
+    "month": (["xs"], "SELECT last_day(CAST(d AS DATE)) AS date FROM (SELECT unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS d FROM xs)"),
     "member": (["named", "change", "month"], """
         SELECT month.date, replace(name, '.', '-') AS ticker, CASE WHEN named.ticker % 2 = 1 THEN sector ELSE 'Unknown' END AS sector
         FROM month CROSS JOIN named LEFT JOIN change ON change.ticker = replace(name, '.', '-') AND change.month > month.date
@@ -121,7 +121,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     "paid": (["gross", "turn"], """
         SELECT date, sum(c) AS cost FROM (SELECT g.date, t.turnover * 7.5 / 10000 / count(*) OVER (PARTITION BY t.date) AS c FROM turn t JOIN gross g ON g.date >= t.date AND g.date < t.date + INTERVAL 1 MONTH) GROUP BY date"""),
     "level": (["price"], "SELECT date, sum(p * v) / sum(v) AS l FROM price GROUP BY date"),
-    "mkt": (["level"], "SELECT * FROM (SELECT date, (l / lag(l) OVER (ORDER BY date) - 1) / 100 AS ret FROM level) WHERE ret IS NOT NULL"),
+    "mkt": (["level"], "SELECT * FROM (SELECT date, pow(l / lag(l) OVER (ORDER BY date), 0.02::DOUBLE) - 1 AS ret FROM level) WHERE ret IS NOT NULL"),
     "wealth": (["mkt"], "SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS wealth FROM mkt"),
     "dd": (["wealth"], "SELECT *, wealth / max(wealth) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM wealth"),
     "deal": (["hold", "price"], """
@@ -196,7 +196,8 @@ def _side(long: str, short: str | None, name: float, sector: float) -> str:
 
 
 _EQUAL, _SHORT = "1.0::DOUBLE / count(*) FILTER (pct >= 0.9) OVER (PARTITION BY date)", "-1.0::DOUBLE / count(*) FILTER (pct <= 0.1) OVER (PARTITION BY date)"
-_CONVICTION = "score / sum(abs(score)) FILTER (pct >= 0.9) OVER (PARTITION BY date)"
+# 0 / 0 counts as 0: DuckDB would give NaN, which is above any number there
+_CONVICTION = "coalesce(score / nullif(sum(abs(score)) FILTER (pct >= 0.9) OVER (PARTITION BY date), 0), 0.0)"
 
 ORACLES: dict[str, str] = {
     "scan_filter_project": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) + 0.0 AS net FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' AND l_discount >= 0.05",
@@ -251,7 +252,7 @@ ORACLES: dict[str, str] = {
     "market_impact": sql("SELECT date, round(sum(abs(disc / 10) * coalesce(disc, 0) * sqrt(abs(disc / 10) * 1e8 / coalesce(nullif(qty * px, 0), 1e12))), 6) + 0.0 AS impact FROM xs GROUP BY date", "xs"),
     "backtest_daily": sql("SELECT g.date, round(gross, 6) + 0.0 AS gross, round(coalesce(cost, 0), 6) + 0.0 AS cost, round(gross - coalesce(cost, 0), 6) + 0.0 AS ret FROM gross g LEFT JOIN paid USING (date)", "paid"),
     "performance_metrics": sql("SELECT * EXCLUDE (one) FROM (" + _performance("(SELECT 1 AS one, * FROM mkt)", "one") + ")", "mkt"),
-    "regime_metrics": sql("SELECT * FROM (" + _performance("""(SELECT CASE WHEN t <= 0.02 THEN 'bear' WHEN t <= 0.06 THEN 'sideways' ELSE 'bull' END AS regime, date, ret FROM (
+    "regime_metrics": sql("SELECT * FROM (" + _performance("""(SELECT CASE WHEN t <= 0.005 THEN 'bear' WHEN t <= 0.02 THEN 'sideways' ELSE 'bull' END AS regime, date, ret FROM (
         SELECT date, ret, CASE WHEN count(*) OVER w = 126 THEN sum(ret) OVER w END AS t FROM mkt WINDOW w AS (ORDER BY date ROWS 125 PRECEDING)) WHERE t IS NOT NULL)""", "regime") + ") WHERE n_days >= 10", "mkt"),
     "monthly_returns_spine": sql("""SELECT m.month, round(coalesce(s, 0.0), 6) + 0.0 AS ret FROM (SELECT last_day(CAST(d AS DATE)) AS month FROM (SELECT unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS d FROM mkt WHERE month(date) <> 5)) m
         LEFT JOIN (SELECT last_day(date) AS month, sum(ret) AS s FROM mkt WHERE month(date) <> 5 GROUP BY 1) USING (month)""", "mkt"),
@@ -268,7 +269,7 @@ ORACLES: dict[str, str] = {
     "corr_pairs": sql(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM feat" for i, a in enumerate(_REPORTED) for b in _REPORTED[i + 1 :]), "feat"),
     "missing_rate": sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(CAST({c} IS NULL AS DOUBLE)), 6) + 0.0 AS missing FROM feat" for c in _REPORTED), "feat"),
     "coverage_by_month": sql(" UNION ALL ".join(f"SELECT last_day(date) AS month, '{c}' AS feature, round(avg(CAST({c} IS NOT NULL AS DOUBLE)), 6) + 0.0 AS share FROM feat GROUP BY 1" for c in _REPORTED), "feat"),
-    "never_known": sql(" UNION ALL ".join(f"SELECT ticker, '{m}' AS metric FROM filing WHERE filing % 77 = 0 GROUP BY ticker HAVING count({m}) = 0" for m in _METRICS), "filing"),
+    "never_known": sql(" UNION ALL ".join(f"SELECT c_custkey AS ticker, '{m}' AS metric FROM filing JOIN orders ON filing = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey HAVING count({m}) = 0" for m in _METRICS), "filing"),
     "histogram_bins": sql("SELECT CAST(CASE WHEN rsi_14 < 0 THEN 0 WHEN rsi_14 >= 100 THEN 21 ELSE floor(rsi_14 / 5) + 1 END AS BIGINT) AS bin, count(*) AS n FROM feat WHERE rsi_14 IS NOT NULL GROUP BY 1", "feat"),
     "integrity_describe": sql("SELECT count(*) AS dates, round(avg(n), 6) + 0.0 AS mean, round(stddev_samp(n), 6) + 0.0 AS std, min(n) AS min, max(n) AS max FROM (SELECT count(DISTINCT ticker) AS n FROM price GROUP BY date)", "price"),
     "zscore_sanity": sql("SELECT date, feature, round(avg(z), 6) + 0.0 AS mean, round(stddev_pop(z), 6) + 0.0 AS std, count(z) AS n FROM z GROUP BY ALL", "z"),
@@ -277,17 +278,30 @@ ORACLES: dict[str, str] = {
     "confusion_matrix": sql("""SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) + 0.0 AS "precision", round(tp / (tp + fn), 6) + 0.0 AS recall, round(2 * tp / (2 * tp + fp + fn), 6) + 0.0 AS f1 FROM (
         SELECT count(*) FILTER (prob > 0.2 AND label = 1) AS tp, count(*) FILTER (prob > 0.2 AND label = 0) AS fp, count(*) FILTER (prob <= 0.2 AND label = 1) AS fn, count(*) FILTER (prob <= 0.2 AND label = 0) AS tn FROM bet)""", "bet"),
     "probability_scores": sql("""SELECT round(brier, 6) + 0.0 AS brier, round(climatology, 6) + 0.0 AS climatology, round(logloss, 6) + 0.0 AS logloss, round(ece, 6) + 0.0 AS ece, round(auc, 6) + 0.0 AS auc FROM
-        (SELECT avg(pow(p - label, 2)) AS brier, avg(label) * (1 - avg(label)) AS climatology, -avg(label * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - label) * ln(1 - greatest(1e-15, least(1 - 1e-15, p)))) AS logloss FROM (SELECT round(prob, 3) AS p, label FROM bet)),
-        (SELECT sum(n * abs(a - b)) / sum(n) AS ece FROM (SELECT count(*) AS n, avg(p) AS a, avg(label) AS b FROM (SELECT round(prob, 3) AS p, label FROM bet) GROUP BY least(floor(p * 10), 9))),
+        (SELECT avg(pow(p - label, 2)) AS brier, avg(label) * (1 - avg(label)) AS climatology, -avg(label * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - label) * ln(1 - greatest(1e-15, least(1 - 1e-15, p)))) AS logloss FROM (SELECT prob AS p, label FROM bet)),
+        (SELECT sum(n * abs(a - b)) / sum(n) AS ece FROM (SELECT count(*) AS n, avg(p) AS a, avg(label) AS b FROM (SELECT prob AS p, label FROM bet) GROUP BY least(floor(p * 10), 9))),
         (SELECT (sum(k) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / (CAST(count(*) FILTER (label = 1) AS DOUBLE) * count(*) FILTER (label = 0)) AS auc FROM (
-          SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS k FROM (SELECT round(prob, 3) AS p, label FROM bet)))""", "bet"),
+          SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS k FROM (SELECT prob AS p, label FROM bet)))""", "bet"),
     "bollinger_population": sql("""SELECT date, ticker, CASE WHEN count(*) OVER w = 20 AND 4 * stddev_pop(p) OVER w >= 1e-12 THEN round((p - (avg(p) OVER w - 2 * stddev_pop(p) OVER w)) / (4 * stddev_pop(p) OVER w), 6) + 0.0 END AS pctb
         FROM price WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)""", "price"),
-    "rsi_wilder": sql("""SELECT a.date, a.ticker, CASE WHEN a.i >= 14 THEN round(100 * sum(x.k * greatest(b.delta, 0)) / nullif(sum(x.k * abs(b.delta)), 0), 6) + 0.0 END AS rsi
-        FROM step a LEFT JOIN step b ON a.ticker = b.ticker AND b.i BETWEEN 1 AND a.i LEFT JOIN LATERAL (SELECT pow(13.0::DOUBLE / 14, a.i - greatest(b.i, 14)) AS k) x ON true WHERE a.date < DATE '1997-01-01' GROUP BY a.date, a.ticker, a.i""", "step"),
+    # changes up to the seed's last one weigh the same; the common factor of the later ones cancels out
+    "rsi_wilder": sql("""SELECT date, ticker, CASE WHEN i >= 14 THEN round(100 * up / nullif(all_of, 0), 6) + 0.0 END AS rsi FROM (
+        SELECT date, ticker, i, sum(pow(14.0::DOUBLE / 13, greatest(i, 14)) * greatest(delta, 0)) OVER t AS up, sum(pow(14.0::DOUBLE / 13, greatest(i, 14)) * abs(delta)) OVER t AS all_of
+        FROM step WINDOW t AS (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING))""", "step"),
     "beta_size_exposures": sql("SELECT date, ticker, round(vol_20d, 6) + 0.0 AS beta, round(ln(1 + p * v), 6) + 0.0 AS log_market_cap FROM feat", "feat"),
     "id_lookup": "SELECT upper(n_name) AS ticker, CASE WHEN n_nationkey % 6 <> 0 THEN lpad(CAST(n_nationkey AS VARCHAR), 10, '0') END AS id FROM nation",
     "equity_vs_benchmark": sql("SELECT date, round(exp(sum(ln(1 + ret)) OVER w), 6) + 0.0 AS wealth, round(exp(sum(ln(1 + CASE WHEN month(date) <> 3 THEN ret / 2 ELSE 0 END)) OVER w), 6) + 0.0 AS benchmark_wealth FROM mkt WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)", "mkt"),
+    "strategy_and_benchmark": sql("SELECT figure, max(x) FILTER (who = 's') AS strategy, max(x) FILTER (who = 'b') AS benchmark FROM (UNPIVOT (SELECT who, * EXCLUDE (who, n_days), CAST(n_days AS DOUBLE) AS n_days FROM (" + _performance("(SELECT 's' AS who, date, ret FROM mkt UNION ALL SELECT 'b', date, ret / 2 FROM mkt)", "who") + ")) ON COLUMNS(* EXCLUDE (who)) INTO NAME figure VALUE x) GROUP BY figure", "mkt"),
+    "strong_correlations": sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM feat" for i, a in enumerate(_REPORTED) for b in _REPORTED[i + 1 :]) + ") WHERE abs(r) > 0.3", "feat"),
+    "split_summary": sql("""SELECT part, count(*) AS n, min(entry_date) AS first, max(entry_date) AS last, round(avg(label_binary), 6) + 0.0 AS rate FROM (SELECT entry_date, label_binary, CASE WHEN entry_date <= a THEN 'train' WHEN entry_date <= b THEN 'validation' ELSE 'test' END AS part FROM lab CROSS JOIN (
+        SELECT max(entry_date) FILTER (place = CAST(floor(n * 0.8::DOUBLE) AS BIGINT)) AS a, max(entry_date) FILTER (place = CAST(floor(n * 0.85::DOUBLE) AS BIGINT)) AS b FROM (SELECT entry_date, row_number() OVER (ORDER BY entry_date, ticker) - 1 AS place, count(*) OVER () AS n FROM lab))) GROUP BY part""", "lab"),
+    "early_stop_rows": sql("""SELECT entry_date > a AS monitor, count(*) AS n, max(entry_date) AS last FROM lab CROSS JOIN (SELECT max(entry_date) FILTER (place = CAST(floor(n * 0.9::DOUBLE) AS BIGINT)) AS a FROM (SELECT entry_date, row_number() OVER (ORDER BY entry_date, ticker) - 1 AS place, count(*) OVER () AS n FROM lab)) GROUP BY 1""", "lab"),
+    "bet_filter_rate": "SELECT count(*) AS n, count(*) FILTER (bet <> 0) AS kept, round(CAST(count(*) FILTER (bet <> 0) AS DOUBLE) / count(*), 6) + 0.0 AS rate FROM (" + _bet("half_kelly") + ")",
+    "fold_report": sql("""SELECT figure, count(x) AS n, round(avg(x), 6) + 0.0 AS mean, round(stddev_samp(x), 6) + 0.0 AS std, round(min(x), 6) + 0.0 AS min, round(max(x), 6) + 0.0 AS max, round(max(x) / avg(x), 6) + 0.0 AS best_to_mean FROM (UNPIVOT (
+        SELECT fold, avg(CAST(CAST(prob > 0.5 AS INTEGER) = label AS DOUBLE)) AS accuracy, -avg(label * ln(greatest(1e-15, least(1 - 1e-15, prob))) + (1 - label) * ln(1 - greatest(1e-15, least(1 - 1e-15, prob)))) AS logloss,
+          (sum(k) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / (CAST(count(*) FILTER (label = 1) AS DOUBLE) * count(*) FILTER (label = 0)) AS auc
+        FROM (SELECT event_id % 8 AS fold, prob, label, rank() OVER (PARTITION BY event_id % 8 ORDER BY prob) + (count(*) OVER (PARTITION BY event_id % 8, prob) - 1) / 2.0::DOUBLE AS k FROM bet) GROUP BY fold) ON accuracy, logloss, auc INTO NAME figure VALUE x) GROUP BY figure""", "bet"),
+    "top_k_drivers": "SELECT vec_id, list_aggregate(list_transform(list_sort(list_transform(range(1, len(embedding) + 1), lambda i: {'s': -abs(embedding[i]), 'i': i - 1}))[1:3], lambda s: 'f' || s.i || '(' || printf('%+.3f', CAST(embedding[s.i + 1] AS DOUBLE)) || ')'), 'string_agg', ' | ') AS top_drivers FROM embeddings",
     "rebalance_listing": sql("SELECT date, ticker, CASE WHEN w > 0 THEN 'Long' ELSE 'Short' END AS direction, round(w * 100, 6) + 0.0 AS weight_pct FROM hold", "hold"),
     "stratified_sample": "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey) LIMIT 50",
     "union_intersect": "SELECT k, 'both' AS part FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'any' FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier)",
@@ -304,7 +318,13 @@ _cut = _flag.index("\nSELECT date, ticker, sector, round(score")
 ORACLES["flagship_decile_portfolio"] = _flag[:_cut] + _EQ2 + _flag[_cut:]
 
 _SERIES = ["click", "error", "purchase", "signup", "view"]
-ORACLES["macro_panel"] = "SELECT date, " + ", ".join(f"round(last_value({c} IGNORE NULLS) OVER w, 6) + 0.0 AS {c}" for c in _SERIES) + " FROM (SELECT CAST(ts AS DATE) AS date, " + ", ".join(f"avg(value) FILTER (event_type = '{c}') AS {c}" for c in _SERIES) + " FROM events WHERE event_id % 5 <> 0 GROUP BY 1) WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)"
+ORACLES["macro_panel"] = "SELECT date, " + ", ".join(f"round(last_value({c} IGNORE NULLS) OVER w, 6) + 0.0 AS {c}" for c in _SERIES) + " FROM (SELECT CAST(ts AS DATE) AS date, " + ", ".join(f"avg(value) FILTER (event_type = '{c}') AS {c}" for c in _SERIES) + " FROM events GROUP BY 1) WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)"
+
+_WEIGHTS = [1.0]
+while abs(_w := -_WEIGHTS[-1] * (0.4 - len(_WEIGHTS) + 1) / len(_WEIGHTS)) >= 1e-2:
+    _WEIGHTS.append(_w)
+ORACLES["fractional_difference"] = sql(f"""SELECT date, ticker, round(x, 6) + 0.0 AS x, CASE WHEN len(h) = {len(_WEIGHTS)} THEN round(list_dot_product(h, {_WEIGHTS[::-1]}::DOUBLE[]), 6) + 0.0 END AS fd FROM (
+    SELECT date, ticker, ln(p) AS x, list(ln(p)) OVER (PARTITION BY ticker ORDER BY date ROWS {len(_WEIGHTS) - 1} PRECEDING) AS h FROM price)""", "price")
 
 for _name, _columns in {
     "log_returns_multi": ["ret_21d", "ret_63d", "ret_126d"], "skip_month_momentum": ["ret_252d"], "realized_vol": ["vol_20d", "vol_60d"], "trailing_drawdown": ["mdd_126d"], "garman_klass": ["gk_vol_20d"], "volume_zscore": ["volume_zscore"],

@@ -13,6 +13,7 @@ from ..config import load_config
 from ..functions.rolling import ewm_mean, lagged, pct_rank
 from ..operators import asof, backtest, features, labels, modeling, portfolio, reports, splits, universe
 from ..sources import panels
+from ..sources.stages import kept
 
 CFG = load_config()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,10 +150,10 @@ def pct_rank_avg_ties(spark, d):
 
 @query
 def flagship_decile_portfolio(spark, d):
-    tech = _technical(spark, d, ["ret_21d", "vol_20d"])
+    prices = kept(panels.prices(spark, d), "prices")
+    tech = features.technical(prices, CFG).select("date", "ticker", "ret_21d", "vol_20d")
     z = features.zscore_columns(tech, ["ret_21d", "vol_20d"])
-    sectors = panels.prices(spark, d).select("date", "ticker", "sector")
-    scored = z.join(sectors, ["date", "ticker"]).withColumn("score", F.round(F.col("ret_21d") - 0.5 * F.col("vol_20d"), 9))
+    scored = z.join(prices.select("date", "ticker", "sector"), ["date", "ticker"]).withColumn("score", F.round(F.col("ret_21d") - 0.5 * F.col("vol_20d"), 9))
     return portfolio.rank_portfolio(scored.select("date", "ticker", "sector", "score"), CFG).filter("weight <> 0")
 
 
@@ -214,13 +215,13 @@ def _changes(spark, d):
 
 @query
 def universe_rebuild(spark, d):
-    return universe.membership(*_changes(spark, d), "1995-01-31", "1999-12-31")
+    return universe.membership(*_changes(spark, d), *_months(spark, d))
 
 
 @query
 def survivorship(spark, d):
     today, changes = _changes(spark, d)
-    return universe.survivorship(universe.membership(today, changes, "1995-01-31", "1999-12-31"), today.select(F.regexp_replace("ticker", r"\.", "-").alias("ticker")))
+    return universe.survivorship(universe.membership(today, changes, *_months(spark, d)), today.select(F.regexp_replace("ticker", r"\.", "-").alias("ticker")))
 
 
 def _months(spark, d):
@@ -229,19 +230,6 @@ def _months(spark, d):
     return str(first), str(last)
 
 
-@query
-def universe_rebuild_all(spark, d):
-    """``universe_rebuild`` over all months; its SQL stops at 1999."""
-    return universe.membership(*_changes(spark, d), *_months(spark, d))
-
-
-@query
-def survivorship_all(spark, d):
-    """``survivorship`` over all months; its SQL stops at 1999."""
-    today, changes = _changes(spark, d)
-    return universe.survivorship(universe.membership(today, changes, *_months(spark, d)), today.select(F.regexp_replace("ticker", r"\.", "-").alias("ticker")))
-
-
 @query
 def dedup_best_row(spark, d):
     best = universe.best_rows(panels.filings(spark, d), panels.METRICS, ["ticker", "sec_acceptance_date", "form_type"], ["filing"])
@@ -360,20 +348,31 @@ def market_impact(spark, d):
 
 
 def _weights(spark, d):
-    """Equal weights of the top decile of ret_21d at month ends."""
-    tech = _technical(spark, d, ["ret_21d"]).filter(labels.month_ends(F.col("date")))
-    scored = tech.join(panels.prices(spark, d).select("date", "ticker", "sector"), ["date", "ticker"]).withColumn("score", F.round("ret_21d", 9))
+    """Equal weights of the top quintile of ret_21d at month ends."""
+    return _weights_of(panels.prices(spark, d))
+
+
+def _weights_of(prices):
+    tech = features.technical(prices, CFG).select("date", "ticker", "ret_21d").filter(labels.month_ends(F.col("date")))
+    scored = tech.join(prices.select("date", "ticker", "sector"), ["date", "ticker"]).withColumn("score", F.round("ret_21d", 9))
     cfg = CFG | {"portfolio": CFG["portfolio"] | {"weighting": "equal", "leg": "top_quintile", "max_name": 0.5, "max_sector": 1.0}}
     return portfolio.rank_portfolio(scored.select("date", "ticker", "sector", "score"), cfg).select("date", "ticker", "weight")
 
 
 def _replay(spark, d):
-    return backtest.replay(_weights(spark, d), panels.prices(spark, d))
+    prices = kept(panels.prices(spark, d), "prices")
+    return backtest.replay(kept(_weights_of(prices), "weights"), prices)
+
+
+def _trades(spark, d, held_only):
+    prices = kept(panels.prices(spark, d), "prices")
+    return backtest.trades(kept(_weights_of(prices), "weights"), prices, held_only)
 
 
 def _returns(spark, d):
-    """Daily market returns, cut to a hundredth so that growth stays in range."""
-    return backtest.market(panels.prices(spark, d)).withColumn("ret", F.col("ret") / 100)
+    """Daily market returns, a fiftieth of them on a logarithmic scale, so that wealth is the fiftieth root of the
+    price's change and stays in range."""
+    return backtest.market(panels.prices(spark, d)).withColumn("ret", F.pow(1 + F.col("ret"), F.lit(0.02)) - 1)
 
 
 @query
@@ -389,7 +388,7 @@ def performance_metrics(spark, d):
 @query
 def regime_metrics(spark, d):
     r = _returns(spark, d)
-    return backtest.regimes(r, r, 0.06, 0.02)
+    return backtest.regimes(r, r, 0.02, 0.005)
 
 
 @query
@@ -409,23 +408,23 @@ def equity_drawdown(spark, d):
 
 @query
 def trade_ledger(spark, d):
-    return backtest.trades(_weights(spark, d), panels.prices(spark, d))
+    return _trades(spark, d, False)
 
 
 @query
 def trade_stats(spark, d):
-    return backtest.trade_stats(backtest.trades(_weights(spark, d), panels.prices(spark, d), held_only=True))
+    return backtest.trade_stats(_trades(spark, d, True))
 
 
 @query
 def trades_by_month(spark, d):
-    t = backtest.trades(_weights(spark, d), panels.prices(spark, d), held_only=True)
+    t = _trades(spark, d, True)
     return t.groupBy(F.last_day("reb_date").alias("month")).agg(F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), F.avg(F.col("won").cast("double")).alias("win_rate"))
 
 
 @query
 def trades_by_ticker(spark, d):
-    t = backtest.trades(_weights(spark, d), panels.prices(spark, d), held_only=True)
+    t = _trades(spark, d, True)
     return t.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("ret").alias("total_ret"), F.avg(F.col("won").cast("double")).alias("win_rate"))
 
 
@@ -483,13 +482,8 @@ def coverage_by_month(spark, d):
 
 @query
 def never_known(spark, d):
-    return reports.never_known(panels.filings(spark, d).filter(F.col("filing") % 77 == 0), panels.METRICS)
-
-
-@query
-def never_known_all(spark, d):
-    """``never_known`` over all filings; its SQL covers one in 77."""
-    return reports.never_known(panels.filings(spark, d), panels.METRICS)
+    """Customers and the metrics that none of their filings has."""
+    return reports.never_known(panels.filings(spark, d, entity="c_custkey"), panels.METRICS)
 
 
 @query
@@ -535,7 +529,7 @@ def confusion_matrix(spark, d):
 
 @query
 def probability_scores(spark, d):
-    return reports.probability_scores(panels.bets(spark, d).withColumn("p", F.round("prob", 3)), "p", "label")
+    return reports.probability_scores(panels.bets(spark, d), "prob", "label")
 
 
 @query
@@ -559,12 +553,6 @@ def bollinger_population(spark, d):
 
 @query
 def rsi_wilder(spark, d):
-    return features.wilder_rsi(panels.prices(spark, d).filter(F.col("date") < F.lit("1997-01-01").cast("date")))
-
-
-@query
-def rsi_wilder_whole(spark, d):
-    """``rsi_wilder`` over all bars; its SQL covers those before 1997 only."""
     return features.wilder_rsi(panels.prices(spark, d))
 
 
@@ -576,13 +564,6 @@ def beta_size_exposures(spark, d):
 
 @query
 def macro_panel(spark, d):
-    e = panels.table(spark, d, "events").filter("event_id % 5 <> 0").select(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("series"), "value")
-    return features.series_panel(e, ["click", "error", "purchase", "signup", "view"])
-
-
-@query
-def macro_panel_all(spark, d):
-    """``macro_panel`` over all events; its SQL leaves out a fifth."""
     e = panels.table(spark, d, "events").select(F.col("ts").cast("date").alias("date"), F.col("event_type").alias("series"), "value")
     return features.series_panel(e, ["click", "error", "purchase", "signup", "view"])
 
@@ -602,6 +583,47 @@ def equity_vs_benchmark(spark, d):
     return reports.against_benchmark(r, r.filter(F.month("date") != 3).withColumn("ret", F.col("ret") / 2))
 
 
+@query
+def strategy_and_benchmark(spark, d):
+    r = kept(_returns(spark, d), "returns")
+    return reports.side_by_side(r, r.withColumn("ret", F.col("ret") / 2))
+
+
+@query
+def strong_correlations(spark, d):
+    return reports.strong_pairs(reports.correlations(_technical(spark, d, REPORTED), REPORTED), 0.3)
+
+
+@query
+def split_summary(spark, d):
+    y = kept(_labels(spark, d).select("ticker", "entry_date", "label_binary"), "labels")
+    return reports.split_summary(splits.three_way(y))
+
+
+@query
+def early_stop_rows(spark, d):
+    y = kept(_labels(spark, d).select("ticker", "entry_date"), "labels")
+    return splits.early_stop_carve(y).groupBy("monitor").agg(F.count("*").alias("n"), F.max("entry_date").alias("last"))
+
+
+@query
+def bet_filter_rate(spark, d):
+    return reports.filter_rate(_bet(spark, d, "half_kelly"))
+
+
+@query
+def fold_report(spark, d):
+    """The report on folds of the bets by key: accuracy, log loss and AUC of each."""
+    b = panels.bets(spark, d).withColumn("fold", F.col("event_id") % 8)
+    parts = None
+    for k in range(8):
+        own = b.filter(F.col("fold") == k)
+        hits = own.agg(F.avg(((F.col("prob") > 0.5).cast("int") == F.col("label")).cast("double")).alias("accuracy"))
+        one = reports.probability_scores(own, "prob", "label").crossJoin(hits).select(F.lit(k).alias("fold"), "accuracy", "logloss", "auc")  # one row each
+        parts = one if parts is None else parts.union(one)
+    return reports.fold_report(parts)
+
+
 @query
 def rebalance_listing(spark, d):
     return reports.rebalance_listing(_weights(spark, d))

@@ -23,19 +23,21 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, supplier, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
     named = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey).select("s_suppkey", "n_name", "r_name")
     px = F.col("l_extendedprice") / F.col("l_quantity")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    trade = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    price = lambda t: F.col(f"{t}.l_extendedprice") / F.col(f"{t}.l_quantity")
     bars = line.join(named, line.l_suppkey == named.s_suppkey).groupBy(F.col("n_name").alias("ticker"), F.col("l_shipdate").cast("date").alias("date"))
-    return bars.agg(F.first("r_name").alias("sector"), F.min_by(px, order).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, order).alias("close"), F.max_by(px, order).alias("adj_close"), F.sum("l_quantity").alias("volume"))
+    summed = bars.agg(F.first("r_name").alias("sector"), F.min(trade).alias("_first"), F.max(px).alias("high"), F.min(px).alias("low"), F.max(trade).alias("_last"), F.sum("l_quantity").alias("volume"))
+    return summed.select("ticker", "date", "sector", price("_first").alias("open"), "high", "low", price("_last").alias("close"), price("_last").alias("adj_close"), "volume")
 
 
-def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, fiscal_period_end, sec_acceptance_date, form_type, six metrics and the key of the filing."""
+def filings(spark: SparkSession, sf_dir: str, entity: str = "n_name") -> DataFrame:
+    """ticker (the nation, or another column), fiscal_period_end, sec_acceptance_date, form_type, six metrics and the key of the filing."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     named = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
     day, key, price = F.col("o_orderdate").cast("date"), F.col("o_orderkey"), F.col("o_totalprice")
     unless = lambda n, value: F.when(key % n != 0, value)
     return named.select(
-        F.col("n_name").alias("ticker"), F.date_sub(day, (key % 60 + 30).cast("int")).alias("fiscal_period_end"), day.alias("sec_acceptance_date"), F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q").alias("form_type"), key.alias("filing"),
+        F.col(entity).alias("ticker"), F.date_sub(day, (key % 60 + 30).cast("int")).alias("fiscal_period_end"), day.alias("sec_acceptance_date"), F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q").alias("form_type"), key.alias("filing"),
         unless(7, price).alias("revenue"), unless(7, price * 0.1 - 500).alias("net_income"), F.when(key % 11 != 0, F.col("c_acctbal")).alias("operating_cash_flow"),
         unless(5, price * 3).alias("total_assets"), (price * 1.25).alias("total_liabilities"), unless(13, price * 1.75).alias("stockholders_equity"),
     )
