@@ -10,10 +10,11 @@ from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VectorAs
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.stages import kept
 from .portfolio import bet_size
-from .reports import probability_scores
 from .splits import early_stop_carve, expanding_folds, purged_folds, three_way
 
 
@@ -22,7 +23,8 @@ def primary_model(features: list[str], label: str = "label_binary", rounds: int
     that it marks get no better."""
     trees = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.7, featureSubsetStrategy="0.6", minInstancesPerNode=20, seed=seed)
     if monitor:
-        trees = trees.setValidationIndicatorCol(monitor).setValidationTol(0.001)
+        trees.setValidationIndicatorCol(monitor)
+        trees.set(trees.validationTol, 0.001)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees])
 
 
@@ -58,34 +60,47 @@ def evaluate_folds(rows: DataFrame, features: list[str], cfg: dict, rounds: int
     """(fold, n_train, n_test, accuracy, logloss, auc) of the purged folds. Training rows depend on the first
     test group alone, so folds that share them share a fit: eight fits for 36 folds of ten groups."""
     c = cfg["validation"]
-    data = matrix(rows, features).cache()
-    folds = purged_folds(data, c["groups"], c["test_groups"], c["embargo_days"]).cache()
+    data = kept(matrix(rows, features), "rows")
+    folds = kept(purged_folds(data, c["groups"], c["test_groups"], c["embargo_days"]), "folds")
     sets = folds.filter("role = 'train'").groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.xxhash64("ticker", "entry_date").cast("decimal(38,0)")).alias("h")).collect()
     by: dict = {}
     for r in sets:
         by.setdefault((r["n"], r["h"]), []).append(r["fold"])
     keys, out = ["ticker", "entry_date"], None
-    for (n_train, _), members in by.items():
+    for (n_train, _), members in sorted(by.items(), key=lambda x: min(x[1])):
         train = data.join(folds.filter((F.col("fold") == members[0]) & (F.col("role") == "train")).select(*keys), keys)
         if train.select("label_binary").distinct().count() < 2:
             continue
         model = primary_model(features, rounds=rounds).fit(train)
-        for fold in members:
-            test = scored(model, data.join(folds.filter((F.col("fold") == fold) & (F.col("role") == "test")).select(*keys), keys))
-            figures = probability_scores(test, "p", "label_binary").crossJoin(test.agg(F.avg(((F.col("p") > 0.5).cast("int") == F.col("label_binary")).cast("double")).alias("accuracy"), F.count("*").alias("n_test")))
-            one = figures.select(F.lit(fold).alias("fold"), F.lit(n_train).cast("long").alias("n_train"), "n_test", "accuracy", "logloss", "auc")
-            out = one if out is None else out.union(one)
-    return out
+        test = data.join(folds.filter(F.col("fold").isin(members) & (F.col("role") == "test")).select("fold", *keys), keys)
+        one = scored(model, test).select("fold", F.lit(n_train).cast("long").alias("n_train"), "p", "label_binary")
+        out = one if out is None else out.union(one)
+    if out is None:
+        return data.sparkSession.createDataFrame([], "fold int, n_train long, n_test long, accuracy double, logloss double, auc double")
+    return fold_figures(kept(out, "scores"), "label_binary")
+
+
+def fold_figures(scores: DataFrame, y: str, p: str = "p") -> DataFrame:
+    """(fold, n_train, n_test, accuracy, logloss, auc) of the scored test rows of all folds, in one pass. Ranks come
+    from totals of stretches of the probabilities, so no fold is ordered in one task."""
+    clipped = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(p)))
+    plain = scores.groupBy("fold", "n_train").agg(F.count("*").alias("n_test"), F.avg(((F.col(p) > 0.5).cast("int") == F.col(y)).cast("double")).alias("accuracy"), (-F.avg(F.col(y) * F.log(clipped) + (1 - F.col(y)) * F.log(1 - clipped))).alias("logloss"))
+    values = scores.groupBy("fold", p, F.floor(F.col(p) * 4096).alias("_s")).agg(F.sum(y).alias("_pos"), F.sum(1 - F.col(y)).alias("_neg"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = values.groupBy("fold", "_s").agg(F.sum("_neg").alias("_n")).withColumn("_before", before(W.partitionBy("fold").orderBy("_s"))).drop("_n")
+    ranked = values.withColumn("_n", F.col("_neg")).withColumn("_inside", before(W.partitionBy("fold", "_s").orderBy(p))).join(totals, ["fold", "_s"])
+    auc = ranked.groupBy("fold").agg(F.try_divide(F.sum(F.col("_pos") * (F.col("_before") + F.col("_inside") + F.col("_neg") / 2)), F.sum("_pos") * F.sum("_neg")).alias("auc"))
+    return plain.join(auc, "fold").select("fold", "n_train", "n_test", "accuracy", "logloss", "auc")
 
 
 def two_stage(rows: DataFrame, features: list[str], cfg: dict) -> DataFrame:
     """Test rows with direction, meta_probability and bet: a first model for the direction, a second one,
     trained on whether out-of-fold directions were right, for the conviction."""
-    data = three_way(matrix(rows, features), 0.8, 0.85).cache()
+    data = kept(three_way(kept(matrix(rows, features), "rows"), 0.8, 0.85), "split")
     train = data.filter("part = 'train'")
     # the last tenth of the training rows watches the fit
     primary = primary_model(features, monitor="monitor").fit(early_stop_carve(train))
-    numbered = expanding_folds(train, cfg["validation"]["folds"]).cache()
+    numbered = kept(expanding_folds(train, cfg["validation"]["folds"]), "numbered")
     parts = None
     for k in range(1, cfg["validation"]["folds"]):
         past = numbered.filter(F.col("oof_fold") < k)
@@ -115,8 +130,6 @@ def supervised_pca(df: DataFrame, features: list[str], target: str, n: int) -> D
 def fractional_difference(df: DataFrame, x: str, d: float, out: str, tolerance: float = 1e-4, key: str = "ticker", order: str = "date") -> DataFrame:
     """``df`` with the fixed-width fractional difference of order d of each entity: weights
     w_k = -w_(k-1) (d - k + 1) / k down to ``tolerance``; null until the window is full."""
-    from pyspark.sql import Window as W
-
     weights = [1.0]
     while abs(w := -weights[-1] * (d - len(weights) + 1) / len(weights)) >= tolerance and len(weights) < 2000:
         weights.append(w)

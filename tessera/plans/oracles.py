@@ -269,7 +269,7 @@ ORACLES: dict[str, str] = {
     "corr_pairs": sql(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM feat" for i, a in enumerate(_REPORTED) for b in _REPORTED[i + 1 :]), "feat"),
     "missing_rate": sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(CAST({c} IS NULL AS DOUBLE)), 6) + 0.0 AS missing FROM feat" for c in _REPORTED), "feat"),
     "coverage_by_month": sql(" UNION ALL ".join(f"SELECT last_day(date) AS month, '{c}' AS feature, round(avg(CAST({c} IS NOT NULL AS DOUBLE)), 6) + 0.0 AS share FROM feat GROUP BY 1" for c in _REPORTED), "feat"),
-    "never_known": sql(" UNION ALL ".join(f"SELECT c_custkey AS ticker, '{m}' AS metric FROM filing JOIN orders ON filing = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey HAVING count({m}) = 0" for m in _METRICS), "filing"),
+    "never_known": sql(" UNION ALL ".join(f"SELECT c_custkey || ':' || year(o_orderdate) AS ticker, '{m}' AS metric FROM filing JOIN orders ON filing = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count({m}) = 0" for m in _METRICS), "filing"),
     "histogram_bins": sql("SELECT CAST(CASE WHEN rsi_14 < 0 THEN 0 WHEN rsi_14 >= 100 THEN 21 ELSE floor(rsi_14 / 5) + 1 END AS BIGINT) AS bin, count(*) AS n FROM feat WHERE rsi_14 IS NOT NULL GROUP BY 1", "feat"),
     "integrity_describe": sql("SELECT count(*) AS dates, round(avg(n), 6) + 0.0 AS mean, round(stddev_samp(n), 6) + 0.0 AS std, min(n) AS min, max(n) AS max FROM (SELECT count(DISTINCT ticker) AS n FROM price GROUP BY date)", "price"),
     "zscore_sanity": sql("SELECT date, feature, round(avg(z), 6) + 0.0 AS mean, round(stddev_pop(z), 6) + 0.0 AS std, count(z) AS n FROM z GROUP BY ALL", "z"),

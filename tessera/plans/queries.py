@@ -462,6 +462,7 @@ def sweep_top10(spark, d):
 
 # --- reports ---
 
+CUSTOMER_YEAR = "concat_ws(':', c_custkey, year(o_orderdate))"
 REPORTED = ["ret_21d", "vol_20d", "ma_gap_50d", "rsi_14", "bb_pctb"]
 
 
@@ -482,8 +483,8 @@ def coverage_by_month(spark, d):
 
 @query
 def never_known(spark, d):
-    """Customers and the metrics that none of their filings has."""
-    return reports.never_known(panels.filings(spark, d, entity="c_custkey"), panels.METRICS)
+    """Customers by year, and the metrics that none of their filings of the year has."""
+    return reports.never_known(panels.filings(spark, d, entity=CUSTOMER_YEAR), panels.METRICS)
 
 
 @query
@@ -644,13 +645,13 @@ def _model_rows(spark, d):
 @query
 def gbt_primary(spark, d):
     rows = modeling.matrix(_model_rows(spark, d), REPORTED)
-    return modeling.scored(modeling.primary_model(REPORTED, rounds=5).fit(rows), rows).select("ticker", "date", "p", "label_binary")
+    return modeling.scored(modeling.primary_model(REPORTED).fit(rows), rows).select("ticker", "date", "p", "label_binary")
 
 
 @query
 def rf_meta(spark, d):
     rows = modeling.balanced(modeling.matrix(_model_rows(spark, d), REPORTED).withColumn("meta_label", F.col("label_binary")), "meta_label")
-    return modeling.scored(modeling.meta_model(REPORTED, trees=10).fit(rows), rows).select("ticker", "date", "p", "meta_label")
+    return modeling.scored(modeling.meta_model(REPORTED).fit(rows), rows).select("ticker", "date", "p", "meta_label")
 
 
 @query
@@ -660,7 +661,7 @@ def two_stage(spark, d):
 
 @query
 def cpcv_evaluate(spark, d):
-    return modeling.evaluate_folds(_model_rows(spark, d), REPORTED, CFG, rounds=3)
+    return modeling.evaluate_folds(_model_rows(spark, d), REPORTED, CFG, rounds=10)
 
 
 @query

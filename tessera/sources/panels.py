@@ -31,13 +31,13 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str, entity: str = "n_name") -> DataFrame:
-    """ticker (the nation, or another column), fiscal_period_end, sec_acceptance_date, form_type, six metrics and the key of the filing."""
+    """ticker (the nation, or another expression), fiscal_period_end, sec_acceptance_date, form_type, six metrics and the key of the filing."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     named = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
     day, key, price = F.col("o_orderdate").cast("date"), F.col("o_orderkey"), F.col("o_totalprice")
     unless = lambda n, value: F.when(key % n != 0, value)
     return named.select(
-        F.col(entity).alias("ticker"), F.date_sub(day, (key % 60 + 30).cast("int")).alias("fiscal_period_end"), day.alias("sec_acceptance_date"), F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q").alias("form_type"), key.alias("filing"),
+        F.expr(entity).alias("ticker"), F.date_sub(day, (key % 60 + 30).cast("int")).alias("fiscal_period_end"), day.alias("sec_acceptance_date"), F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q").alias("form_type"), key.alias("filing"),
         unless(7, price).alias("revenue"), unless(7, price * 0.1 - 500).alias("net_income"), F.when(key % 11 != 0, F.col("c_acctbal")).alias("operating_cash_flow"),
         unless(5, price * 3).alias("total_assets"), (price * 1.25).alias("total_liabilities"), unless(13, price * 1.75).alias("stockholders_equity"),
     )

@@ -250,3 +250,89 @@ def test_cached_stage_follows_the_settings(spark, tmp_path):
     assert counts == [1, 1, 2]
     to_csv(spark.range(3), f"{tmp_path}/out")
     assert spark.read.option("header", True).csv(f"{tmp_path}/out").count() == 3
+
+
+def test_a_total_loss_leaves_nothing(spark):
+    import datetime
+
+    rows = [(datetime.date(2020, 1, i + 1), r) for i, r in enumerate([0.1, -1.0, 0.1, None, -1.5])]
+    df = spark.createDataFrame(rows, "date date, ret double")
+    assert [round(r["wealth"], 9) for r in backtest.equity(df).orderBy("date").collect()] == [1.1, 0.0, 0.0, 0.0, 0.0]
+    got = backtest.performance(df).first()
+    assert (got["total_return"], got["annualized_return"], got["max_drawdown"]) == (-1.0, -1.0, -1.0)
+    both = reports.against_benchmark(df, df.filter("ret > 0")).orderBy("date").collect()
+    assert both[-1]["wealth"] == 0 and both[-1]["benchmark_wealth"] == pytest.approx(1.21)
+
+
+def test_a_skipped_rebalance_costs_nothing(spark):
+    import datetime
+
+    day = lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i)
+    prices = spark.createDataFrame([(day(i), "a", 1.0) for i in range(90) if i != 40], "date date, ticker string, adj_close double")
+    weights = spark.createDataFrame([(day(0), "a", 1.0), (day(40), "a", 0.0), (day(50), "a", 1.0)], "date date, ticker string, weight double")
+    cost = {r["date"]: r["cost"] for r in backtest.replay(weights, prices, cost_bps=7.5).collect()}
+    assert sum(cost.values()) == pytest.approx(7.5e-4) and all(c == 0 for d, c in cost.items() if d >= day(50))
+
+
+def test_scores_that_are_not_finite_have_no_weight(spark):
+    import datetime
+
+    d = datetime.date(2020, 1, 31)
+    rows = [(d, f"t{i}", "s" if i % 2 else "u", float(i)) for i in range(20)] + [(d, "nan", "s", float("nan")), (d, "inf", "s", float("inf")), (d, "none", "s", None)]
+    df = spark.createDataFrame(rows, "date date, ticker string, sector string, score double").withColumn("e", F.lit(float("nan")))
+    for out in (portfolio.neutral_to_sector(df), portfolio.neutral_to_factor(df, "e"), portfolio.neutralise(df, ["e"])):
+        assert {r["ticker"] for r in out.collect()} == {f"t{i}" for i in range(20)}
+    cfg = {"portfolio": {"leg": "top_decile", "short_leg": "bottom_quintile", "weighting": "equal", "max_name": 1.0, "max_sector": 1.0, "long_only": False}}
+    w = {r["ticker"]: r["weight"] for r in portfolio.rank_portfolio(df, cfg).collect()}
+    assert sum(x > 0 for x in w.values()) == 3 and sum(x < 0 for x in w.values()) == 4 and "nan" not in w
+
+
+def test_neutralization_can_be_disabled(spark):
+    import datetime
+
+    df = spark.createDataFrame([(datetime.date(2020, 1, 31), f"t{i}", "s", float(i), float(i % 3)) for i in range(9)], "date date, ticker string, sector string, score double, size double")
+    out, check = portfolio.run_neutralization(df, {"neutralization": {"enabled": False, "exposures": ["size"], "proportion": 1.0}})
+    assert check is None and all(r["neutral"] == r["score"] for r in out.collect())
+    out, check = portfolio.run_neutralization(df, {"neutralization": {"enabled": True, "exposures": ["size"], "proportion": 1.0}})
+    assert abs(sum(r["neutral"] * r["size"] for r in out.collect())) < 1e-9 and check.first()["exposure"] == "size"
+
+
+def test_coercion_columns_and_wide_prices(spark):
+    df = spark.createDataFrame([("1.5", "2020-01-02", 3), ("x", "n/a", 4), (None, None, None)], "a string, d string, n int")
+    got = features.coerced(df, ["a", "missing"], ["d"])
+    assert [(r["a"], str(r["d"]), r["missing"]) for r in got.collect()] == [(1.5, "2020-01-02", None), (None, "None", None), (None, "None", None)]
+    assert features.numeric_columns(got, ("n",)) == ["a", "missing"]
+    wide = spark.createDataFrame([("d1", 1.0, 2.0, None), ("d2", None, None, 5.0)], "date string, `open|A` double, `close|A` double, `close|B` double")
+    assert sorted((r["date"], r["ticker"], r["open"], r["close"]) for r in features.long_prices(wide).collect()) == [("d1", "A", 1.0, 2.0), ("d2", "B", None, 5.0)]
+
+
+def test_feature_and_labelling_pipelines(spark):
+    import datetime
+
+    from tessera.config import load_config
+
+    cfg = load_config()
+    day = lambda i: datetime.date(2019, 1, 1) + datetime.timedelta(i)
+    rows = [(day(i), t, "s", *[100 + 10 * math.sin(i / 9 + k)] * 5, 1000.0 + i) for k, t in enumerate("ab") for i in range(400)]
+    prices = spark.createDataFrame(rows, "date date, ticker string, sector string, open double, high double, low double, close double, adj_close double, volume double")
+    made = features.feature_pipeline(prices, None, cfg)
+    assert {"rsi_14", "obv_zscore", "ret_252d"} <= set(made.columns) and made.count() == 800
+    found, summary = labels.run_labeling(prices, cfg)
+    assert found.count() == sum(r["down"] + r["flat"] + r["up"] for r in summary.collect()) > 0
+
+
+def test_waterfall_and_interaction(spark):
+    e = spark.createDataFrame([("k", [0.5, -2.0, 1.0])], "key string, contributions array<double>")
+    got = [(r["feature"], r["contribution"], r["start"], r["end"]) for r in reports.waterfall(e, ["a", "b", "c"], "key", 2).orderBy("place").collect()]
+    assert got == [("b", -2.0, 0.0, -2.0), ("c", 1.0, -2.0, -1.0), ("others", 0.5, -1.0, -0.5)]
+    rows = spark.createDataFrame([("k", 7.0, 8.0)], "key string, a double, b double")
+    assert tuple(reports.interaction(rows, e, ["a", "b", "c"], "key", "a", "b").first()) == ("k", 7.0, 0.5, 8.0)
+
+
+def test_early_stopping_ends_before_the_last_round(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(rng.random(), i % 2, i > 300) for i in range(400)], "x double, label_binary int, monitor boolean")
+    stopped = modeling.primary_model(["x"], rounds=30, monitor="monitor").fit(rows).stages[-1]
+    assert stopped.getNumTrees < 30

@@ -1,4 +1,4 @@
-"""Queries over the whole tables, against brute force; the SQL of their namesakes covers a part."""
+"""Queries over the whole tables, against brute force."""
 
 import os
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import features, modeling, reports
-from tessera.plans.queries import QUERIES
+from tessera.plans.queries import CUSTOMER_YEAR, QUERIES
 from tessera.sources import panels
 
 SF = "/root/testdata/sf0.001"
@@ -44,7 +44,7 @@ def test_wilder_of_all_bars(spark):
     for r in panels.prices(spark, SF).select("ticker", "date", "adj_close").orderBy("date").collect():
         by.setdefault(r["ticker"], []).append((r["date"], r["adj_close"]))
     want = {(t, d): x for t, bars in by.items() for d, x in _wilder(bars).items()}
-    got = {(r["ticker"], r["date"]): r["rsi"] for r in QUERIES["rsi_wilder_whole"](spark, SF).collect()}
+    got = {(r["ticker"], r["date"]): r["rsi"] for r in QUERIES["rsi_wilder"](spark, SF).collect()}
     assert got == {k: x if x is None else pytest.approx(x, abs=2e-6) for k, x in want.items()}
 
 
@@ -56,20 +56,31 @@ def test_never_known_of_a_fixture(spark):
 @needs_tables
 def test_never_known_of_all_filings(spark):
     known = {}
-    for r in panels.filings(spark, SF).collect():
+    for r in panels.filings(spark, SF, entity=CUSTOMER_YEAR).collect():
         for m in panels.METRICS:
             known[r["ticker"], m] = known.get((r["ticker"], m), False) or r[m] is not None
-    got = {tuple(r) for r in QUERIES["never_known_all"](spark, SF).collect()}
-    assert known and got == {k for k, v in known.items() if not v}
+    got = {tuple(r) for r in QUERIES["never_known"](spark, SF).collect()}
+    assert got and got == {k for k, v in known.items() if not v}
 
 
 @needs_tables
-def test_cpcv_is_asked_for_folds_of_two_test_groups_of_ten(spark, monkeypatch):
-    """The settings only: the fits of all folds take minutes."""
-    asked = []
-    monkeypatch.setattr(modeling, "evaluate_folds", lambda rows, names, cfg, rounds: asked.append(cfg["validation"]) or rows.limit(0))
-    QUERIES["cpcv_evaluate"](spark, SF)
-    assert [(c["groups"], c["test_groups"]) for c in asked] == [(10, 2)]
+def test_cpcv_evaluates_all_folds_of_two_test_groups_of_ten(spark):
+    rows = QUERIES["cpcv_evaluate"](spark, SF).collect()
+    assert sorted(r["fold"] for r in rows) == list(range(36))
+    assert all(r["n_test"] > 0 and r["n_train"] > 0 and 0 <= r["accuracy"] <= 1 for r in rows)
+
+
+def test_fold_figures_by_counting_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(f, 5, round(rng.random(), 2), rng.randint(0, 1)) for f in (0, 1) for _ in range(60)]
+    got = {r["fold"]: r for r in modeling.fold_figures(spark.createDataFrame(rows, "fold int, n_train long, p double, y int"), "y").collect()}
+    for f in (0, 1):
+        own = [(p, y) for g, _, p, y in rows if g == f]
+        pairs = [(a > b) + (a == b) / 2 for a, x in own if x for b, y in own if not y]
+        assert got[f]["auc"] == pytest.approx(sum(pairs) / len(pairs)) and got[f]["n_test"] == 60
+        assert got[f]["accuracy"] == pytest.approx(sum((p > 0.5) == bool(y) for p, y in own) / 60)
 
 
 @needs_tables
@@ -81,12 +92,12 @@ def test_macro_panel_of_all_events(spark):
     for date in sorted(by):
         last |= {k: sum(known) / len(known) for k, v in by[date].items() if (known := [x for x in v if x is not None])}
         want[date] = [last.get(k) for k in names]
-    got = {r["date"]: [r[k] for k in names] for r in QUERIES["macro_panel_all"](spark, SF).collect()}
+    got = {r["date"]: [r[k] for k in names] for r in QUERIES["macro_panel"](spark, SF).collect()}
     assert got == {d: [x if x is None else pytest.approx(x, abs=2e-6) for x in v] for d, v in want.items()}
 
 
 @needs_tables
 def test_universe_runs_to_the_last_month(spark):
     last = panels.cross_section(spark, SF).agg(F.last_day(F.max("date"))).first()[0]
-    assert QUERIES["universe_rebuild_all"](spark, SF).agg(F.max("date")).first()[0] == last
-    assert QUERIES["survivorship_all"](spark, SF).count() > 0
+    assert QUERIES["universe_rebuild"](spark, SF).agg(F.max("date")).first()[0] == last
+    assert QUERIES["survivorship"](spark, SF).count() > 0
