@@ -45,7 +45,7 @@ EXCESS = (0.5, 1.0)
 TOXIC_BYTES = (2048, 4096)
 #: Thresholds of a window's log-odds.
 STRONG = (1.0, 2.0, 3.0)
-FEATURES = 3 + len(STRONG)
+FEATURES = 4 + len(STRONG)
 
 
 def words(text: bytes) -> list[bytes]:
@@ -126,8 +126,10 @@ def evidence(cells: dict, n: int, odds: dict) -> list[float]:
     """The features of a document of n windows, ``cells`` being the number of windows of each cell (cells
     without odds may be left out)."""
     known = [(odds[c], v) for c, v in cells.items() if c in odds]
+    if not known:  # the intercept alone, the log-odds of documents without evidence, however long or short
+        return [0.0] * FEATURES
     passing = [math.log1p(sum(v for o, v in known if o >= t)) for t in STRONG]
-    return [math.log1p(n), *passing, math.log1p(sum(o >= STRONG[1] for o, _ in known)), max((o for o, _ in known), default=0.0)]
+    return [1.0, math.log1p(n), *passing, math.log1p(sum(o >= STRONG[1] for o, _ in known)), max(o for o, _ in known)]
 
 
 def _pack(cell: tuple[int, int, int]) -> int:

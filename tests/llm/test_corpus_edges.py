@@ -107,7 +107,7 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     q = topk.quantised(df)
     got = {}
-    for r in topk.top_k(q, q.filter("vec_id % 100 = 0"), 10, rows_per_part=50, queries_per_part=2, block=16).collect():
+    for r in topk.top_k(q, q.filter("vec_id % 100 = 0"), 10, rows_per_part=50, block=16).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
     rows = [(i, np.floor(np.pad(np.asarray(v, np.float32).astype(float), (0, 8 - len(v))) * 1024)) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)]
     assert set(got) == {0, 100, 200, 1300}
@@ -121,10 +121,34 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
 def test_blocks_below_the_bound_are_not_scored():
     docs = np.zeros((1000, 4))
     docs[:20] = 100
-    *_, scored = topk.search_blocks(np.arange(1000), docs, np.array([5000]), np.ones((1, 4)), 10, block=20)
+    *_, scored = topk.Blocks(np.arange(1000), docs, 20).search(np.array([5000]), np.ones((1, 4)), 10)
     assert scored == 20
 
 
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = [(i, (centres[i % 20] + 0.02 * rng.normal(size=16)).tolist()) for i in range(3000)]
+    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got, work = topk.search(q, q.filter("vec_id % 100 = 0"), 10, rows_per_part=300, block=32)
+    assert work.agg(F.sum("scored")).first()[0] < 0.5 * 30 * 3000
+    whole = np.floor(np.array([v for _, v in rows]) * 1024).astype(int)
+    for i in (0, 1700):
+        best = sorted((-int(s), j) for j, s in enumerate(whole @ whole[i]) if j != i)[:10]
+        assert [(-r["score"], r["vec_id"]) for r in got.filter(f"query_id = {i}").orderBy("rank").collect()] == best
+
+
+def test_ids_of_the_whole_range_and_clashing_columns(spark):
+    rows = [(-9 * 10**18, [1.0, 2.0], 1), (5, [3.0, 1.0], 1), (9 * 10**18, [1.0, 1.0], 1), (5, [3.0, 1.0], 1), (7, [1e30, 1.0], 1)]
+    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"))
+    got = {}
+    for r in topk.top_k(q, q.filter("vec_id <> 7"), 3, rows_per_part=2, block=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(got[5]) == [(1, 7), (2, -9 * 10**18), (3, 9 * 10**18)]
+    assert [v for _, v in sorted(got[9 * 10**18])] == [7, 5, 5]
+
+
 def test_repeats_of_many_copies_and_edges(make):
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ") for _ in range(400))
@@ -162,12 +186,27 @@ def test_near_copies_of_one_base_connect_through_it(make):
         for k in rng.sample(range(300), 6):
             edited[k] = f"e{i}_{k}"
         rows.append((i, " ".join(edited)))
-    got = neardup.near_duplicates(make(rows), 3, 85, tile_bytes=60_000).collect()
+    got = neardup.near_duplicates(make(rows), 3, 85, tile=3000).collect()
     assert {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
     apart = neardup.near_duplicates(make(rows[1:]), 3, 99).collect()
     assert all(r["kept"] for r in apart)
 
 
+def test_texts_like_their_neighbours_only_stay_apart(make):
+    """A long chain of texts that share half with the next one: their buckets percolate, nothing is linked."""
+    words = [f"c{j}" for j in range(9000)]
+    rows = [(i, " ".join(words[i * 40 : i * 40 + 120])) for i in range(200)] + [(500 + i, " ".join(words[:118]) + f" x{i}") for i in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make(rows), 3, 85, tile=2000).collect()}
+    assert got == {i: i for i in range(1, 200)} | {0: 0} | {500 + i: 0 for i in range(30)}
+
+
+def test_one_document_of_each_group_stays(make):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, text), (5, text), (3, text.upper()), (None, text), (None, "a b c d e f"), (None, "a  b c d e f"), (8, None), (8, None), (9, "lone text of some words here")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in neardup.deduplicate(make(rows, ("n", "key"))).collect())
+    assert [i for i, _ in got] == ["3", "8", "8", "9", "None"]
+
+
 def test_bayes_bound_lets_similar_pairs_through():
     least = neardup.least_matches(0.85, 125, 25, 1e-6)
     rng = np.random.default_rng(0)
@@ -228,11 +267,136 @@ def test_a_far_term_reveals_an_entity_seen_once(make):
     assert found[0]["spans"].endswith("term:0:6") and found[0]["n_term"] == 1 and set(found) == {0, 5, 6}
 
 
+def test_terms_by_brute_force(make):
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=12)) + (f" Rare{chr(97 + i % 26) * 5} mail p{i % 7}@x.com token=ab12cd34ef56ab78cd9 " if i % 40 == 0 else "")) for i in range(1500)]
+    docs = make(rows)
+    want = {r["term"] for r in pii.revealing_terms(docs, pii.detect(docs)).collect()}
+    assert want
+    for r in pii.digest(docs).collect():
+        text = dict(rows)[r["doc_id"]]
+        base = [f"{k}:{a}:{z}" for k, a, z in pii.entities(text)]
+        taken = [(a, z) for _, a, z in pii.entities(text)]
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{4,}", text) if m.group().lower() in want and not any(a < m.end() and m.start() < z for a, z in taken)]
+        assert r["spans"] == ",".join(base + terms) and r["n_private"] == len(base)
+
+
+def test_sieve_lets_all_terms_pass(spark):
+    terms = [f"term{i}ü" for i in range(5000)]
+    sieve = pii.Sieve(spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert all(t in sieve for t in terms) and sum(f"other{i}" in sieve for i in range(5000)) < 50
+
+
+def test_secrets_by_their_information():
+    found = lambda t: [t[a:z] for k, a, z in pii.entities(t) if k == "secret"]
+    assert found('token = "27660c51feb63980dfaee7464f96210544c03fc3" x') == ["27660c51feb63980dfaee7464f96210544c03fc3"]
+    assert found("password=b7db7aa4a5fcc78305 PASSWORD: aaaaaaaaaaaaaaaaaaaaaaaa mytoken=b7db7aa4a5fcc78305 key words") == ["b7db7aa4a5fcc78305"]
+
+
+def test_many_entities_in_one_text():
+    """Fifty thousand entities: quadratic work would take minutes."""
+    import time
+
+    text = "".join(f"user login from 10.1.2.{i % 250} accepted for bob{i}@x.com " for i in range(25_000))
+    began = time.time()
+    found = pii.entities(text)
+    assert len(found) == 50_000 and len(pii.context(text, found)[0]) == 25_250
+    assert time.time() - began < 20
+
+
 def test_long_runs_are_scanned_in_linear_time():
-    for text in ("a" * 200_000, "a" * 100_000 + "@", "1" * 100_000, "1." * 50_000, "+1" + " " * 100_000, "@a" * 50_000):
+    for text in ("password=" + "a" * 200_000, "token=" * 30_000, "a" * 200_000, "a" * 100_000 + "@", "1" * 100_000, "1." * 50_000, "+1" + " " * 100_000, "@a" * 50_000):
         pii.entities(text)
 
 
 def test_quality_without_labels_or_class(spark, make):
     rows = quality.classify(make([(1, "x"), (2, None)]), spark.createDataFrame([(1, 1, 0)], LABELS)).collect()
     assert [r["score"] for r in rows] == [0.5, 0.5]
+
+
+def test_toxicity_of_clashing_labels_ties_and_reruns(spark, make):
+    rng = random.Random(3)
+    plain = ["the", "house", "of", "river", "green", "walking", "morning", "table"]
+    rows = [(i, " ".join(rng.choices(plain, k=40)) + (" zorblax grumfit zorblax" if i % 3 == 0 else "")) for i in range(400)]
+    docs = make(rows + [(1000, "zorblax grumfit"), (1001, "zorblax grumfit"), (1002, None), (1003, "")], CLASH)
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(300)] + [(5, 0, 1), (9000, 0, 1), (None, 0, 1)], LABELS)
+    model = toxicity.fit(docs, labels)
+    assert model == toxicity.fit(docs.repartition(7), labels.repartition(3)) and len(model["parts"]) == 2
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(docs, model).collect()}
+    assert got[1000] == got[1001] and got[1002] == got[1003] and got[1002][1] == 0
+    assert sum(got[i][1] == int(i % 3 == 0) for i in range(300, 400)) >= 95
+    known = {(r["y"], r["half"]): r["count"] for r in toxicity._sample(docs, labels, "toxic", 8000, 24000).groupBy("y", "half").count().collect()}
+    assert sum(known.values()) == 299  # the id with labels that contradict each other is left out
+
+
+def test_hot_ids_and_equal_rows_are_split(make, monkeypatch):
+    """Small buckets give the same places as large ones."""
+    import functools
+
+    from tessera.llm import common
+
+    rows = [(None, f"t {i} " + "w " * (i % 7), "big") for i in range(600)] + [(7, "same text here", "big")] * 500 + [(i + 100, "x y", f"h{i}") for i in range(400)]
+    docs, found = make(rows), []
+    for size in (4096, 20):
+        for module in (sharding, mixing):
+            monkeypatch.setattr(module, "numbered_in_order", functools.partial(common.numbered_in_order, per_bucket=size))
+        shards = sharding.shard_documents(docs).collect()
+        assert sorted(r["slot"] for r in shards if r["shard"] == 0) == list(range(sum(r["shard"] == 0 for r in shards)))
+        mixed = mixing.mix_documents(docs)
+        words = mixing.materialise(docs, mixed).select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+        assert words == mixed.agg(F.sum("taken")).first()[0]
+        found.append((sorted((str(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in shards), sorted((str(r["doc_id"]), r["size"], r["taken"], r["_key"]) for r in mixed.collect())))
+        assert sharding.interleave(docs, 24).count() == len(rows)
+    assert found[0] == found[1]
+
+
+def test_words_at_the_edges(spark):
+    from tessera.llm import words
+
+    texts = ["a\x00b C\x7fd", "", "  ", None, "\tMIT\x0blicense\x0c", "Ünï İ cödé-x_y[z]`{|}~9", "É"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(words.alnum_words(F.col("t")), words.space_words(F.col("t"))).collect()
+    for t, (a, w) in zip(texts, got, strict=True):
+        t = t or ""
+        assert a == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)})) and w == re.findall(r"[^\x20\x09-\x0D]+", t)
+
+
+def test_short_items_and_repeated_documents(spark, make):
+    items = spark.createDataFrame([(1, "the"), (2, "rare words here"), (3, "here rare")], "item_id long, text string")
+    docs = make([(1, "the cat the dog"), (1, "the cat the dog"), (None, "some rare words here now"), (3, "here is rare")])
+    got = sorted((str(r["doc_id"]), r["n_hit"], r["n_items"], r["n_near_items"]) for r in decontamination.contamination(docs, items).collect())
+    assert got == [("1", 2, 1, 1), ("1", 2, 1, 1), ("3", 0, 0, 1), ("None", 3, 1, 2)]
+
+
+def test_many_templates_are_data(make):
+    more = (*licenses.TEMPLATES, *((f"own-{i}", f"granted by clause {i} of the house", f"clause {i}") for i in range(150)))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(make([(1, "granted by clause 77 of the house"), (2, "clause 200"), (3, "MIT license")]), more).collect()}
+    assert got[1] == ("own-77", 1.0) and got[2] == ("", 0.0) and got[3][0] == "mit"
+
+
+def test_shared_folder_is_needed_off_a_local_master(spark, monkeypatch):
+    from tessera.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_entry_without_a_library(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m.startswith(("tessera.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    found = entry.queries()
+    assert "triple_barrier" in found and "pipeline" not in found and not any(q.startswith("op4_") for q in found)
