@@ -96,8 +96,10 @@ def _moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarr
 
 def fit(measured: DataFrame, labels: DataFrame, label_col: str = "quality", shrink_pooled: float = 0.1, shrink_diagonal: float = 0.05) -> dict | None:
     """Class means, Cholesky factors and the calibration. All labelled rows take part: those of even hash
-    give the moments, those of odd hash the calibration. None if a class has no row in either part."""
-    y = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["_id"])
+    give the moments, those of odd hash the calibration. An id with labels
+    that contradict each other is left out. None if a class has no row in either part."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
+    y = known.agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("_z")).filter("y = _z").drop("_z")
     rows = written(measured.join(y, F.col("doc_id") == F.col("_id")).select("x", "y", (F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)) % 3 == 0).alias("cal")), "quality-labelled")
     moments = _moments(rows.filter(~F.col("cal")))
     if min(moments[y][0] for y in (0, 1)) < 2:

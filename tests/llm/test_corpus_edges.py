@@ -400,3 +400,30 @@ def test_entry_without_a_library(monkeypatch):
     monkeypatch.setitem(sys.modules, "zstandard", None)
     found = entry.queries()
     assert "triple_barrier" in found and "pipeline" not in found and not any(q.startswith("op4_") for q in found)
+
+
+def test_quality_scores_by_inverses_and_determinants(spark, make):
+    """The moments, factors and differences against plain numpy on all rows."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["good", "Fine", "words."] if i % 2 else ["bad!!!", "x", "##", "9"], k=rng.randint(5, 60)))) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(240)] + [(4, 1, 0)], LABELS)
+    measured = quality.with_statistics(make(rows))
+    model = quality.fit(measured, labels)
+    chosen = {r["doc_id"] for r in make(rows).filter(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)) % 3 != 0).collect()} - {4}
+    x = {i: np.array(quality.statistics(t.encode())) for i, t in rows}
+    own = {y: np.array([x[i] for i in sorted(chosen) if i % 2 == y]) for y in (0, 1)}
+    cov = {y: np.cov(v.T, bias=True) for y, v in own.items()}
+    n = {y: len(v) for y, v in own.items()}
+    pooled = sum(cov[y] * n[y] for y in (0, 1)) / sum(n.values())
+    z = 0
+    at = x[7]
+    for y, sign in ((1, 1), (0, -1)):
+        a = max(0.1, min(0.9, 2 * len(quality.FEATURES) / n[y]))
+        s = 0.95 * ((1 - a) * cov[y] + a * pooled) + 0.05 * np.diag(np.diag(pooled) + 1e-6) + 1e-9 * np.eye(len(pooled))
+        d = at - own[y].mean(axis=0)
+        z += sign * (np.log(n[y] / sum(n.values())) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * d @ np.linalg.inv(s) @ d)
+    want = np.sign(z) * np.log1p(abs(z))
+    assert quality.difference(at[None], model)[0] == pytest.approx(want, rel=1e-5)
+    slope, offset = model["calibration"]
+    got = {r["doc_id"]: r["score"] for r in quality.score(measured, model).collect()}
+    assert got[7] == pytest.approx(1 / (1 + np.exp(-np.clip(want * slope + offset, -30, 30))), rel=1e-4)
