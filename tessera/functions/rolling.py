@@ -41,6 +41,12 @@ def safe_sqrt(x: Column) -> Column:
     return F.when(x >= 0, F.sqrt(x))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation over rows with both; null where one has no spread (``corr`` divides by zero there)."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def unless_tiny(x: Column) -> Column:
     return F.when(F.abs(x) >= TINY, x)
 

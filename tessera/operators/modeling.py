@@ -56,7 +56,7 @@ def scored(model, df: DataFrame, out: str = "p") -> DataFrame:
     return model.transform(df).withColumn(out, probability()).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def evaluate_folds(rows: DataFrame, features: list[str], cfg: dict, rounds: int = 5) -> DataFrame:
+def evaluate_folds(rows: DataFrame, features: list[str], cfg: dict, rounds: int = 5, depth: int = 4) -> DataFrame:
     """(fold, n_train, n_test, accuracy, logloss, auc) of the purged folds. Training rows depend on the first
     test group alone, so folds that share them share a fit: eight fits for 36 folds of ten groups."""
     c = cfg["validation"]
@@ -71,7 +71,7 @@ def evaluate_folds(rows: DataFrame, features: list[str], cfg: dict, rounds: int
         train = data.join(folds.filter((F.col("fold") == members[0]) & (F.col("role") == "train")).select(*keys), keys)
         if train.select("label_binary").distinct().count() < 2:
             continue
-        model = primary_model(features, rounds=rounds).fit(train)
+        model = primary_model(features, rounds=rounds, depth=depth).fit(train)
         test = data.join(folds.filter(F.col("fold").isin(members) & (F.col("role") == "test")).select("fold", *keys), keys)
         one = scored(model, test).select("fold", F.lit(n_train).cast("long").alias("n_train"), "p", "label_binary")
         out = one if out is None else out.union(one)

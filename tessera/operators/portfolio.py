@@ -114,10 +114,10 @@ def exposure_matrix(rows: pd.DataFrame, levels: list[str], numeric: list[str]):
     return np.column_stack(columns) if columns else np.zeros((len(rows), 0))
 
 
-def neutralise(scores: DataFrame, numeric: list[str], proportion: float = 1.0) -> DataFrame:
+def neutralise(scores: DataFrame, numeric: list[str], proportion: float = 1.0, by: tuple[str, ...] = ("date",)) -> DataFrame:
     """``scores`` (date, ticker, sector, score, numeric exposures) with neutral, by the pseudo-inverse of the
-    date's exposures: dummies of its sectors without the first, and the numeric ones. One date is one task's
-    matter, of as many rows as there are names."""
+    date's exposures: dummies of its sectors without the first, and the numeric ones. One date (or group
+    of ``by``) is one task's matter, of as many rows as there are names."""
     import numpy as np
 
     def residual(rows: pd.DataFrame) -> pd.DataFrame:
@@ -128,9 +128,9 @@ def neutralise(scores: DataFrame, numeric: list[str], proportion: float = 1.0) -
         spread = out.std()
         return rows.assign(neutral=out / spread if spread > TINY else out)
 
-    kept = scores.select("date", "ticker", "sector", "score", *numeric).filter(finite("score"))
+    kept = scores.select(*by, "ticker", "sector", "score", *numeric).filter(finite("score"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.groupBy("date").applyInPandas(residual, f"{schema}, neutral double")
+    return kept.groupBy(*by).applyInPandas(residual, f"{schema}, neutral double")
 
 
 def exposure_slopes(neutral: DataFrame, exposures: list[str]) -> DataFrame:
@@ -145,14 +145,14 @@ def exposure_slopes(neutral: DataFrame, exposures: list[str]) -> DataFrame:
 
 def run_neutralization(scores: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame | None]:
     """(``scores`` with neutral, the check of the numeric exposures over all dates): each date by itself. Where
-    neutralisation is disabled the score passes through, and there is no check."""
+    neutralisation is disabled the score passes through, and there is no check; nor is there one without numeric exposures."""
     c = cfg["neutralization"]
     if not c["enabled"]:
         return scores.withColumn("neutral", F.col("score")), None
     numeric = [e for e in c["exposures"] if e != "sector"]
     given = scores if "sector" in c["exposures"] else scores.withColumn("sector", F.lit("all"))
     out = neutralise(given, numeric, c["proportion"])
-    return out, slope_p_values(exposure_slopes(out, numeric))
+    return out, slope_p_values(exposure_slopes(out, numeric)) if numeric else None
 
 
 def slope_p_values(slopes: DataFrame) -> DataFrame:

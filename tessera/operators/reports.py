@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rolling import correlation
 from .backtest import growth
 
 #: Stretches of the range of probabilities.
@@ -40,8 +41,7 @@ def never_known(df: DataFrame, metrics: list[str]) -> DataFrame:
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of each pair over rows with both, in one pass."""
     pairs = list(combinations(features, 2))
-    spread = lambda x, y: F.corr(F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y)))
-    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), spread(a, b).alias("r")) for a, b in pairs]).alias("p"))
+    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col(a), F.col(b)).alias("r")) for a, b in pairs]).alias("p"))
     return one.select(F.explode("p").alias("p")).select("p.*")
 
 
@@ -161,7 +161,7 @@ def principal_components(df: DataFrame, features: list[str]) -> DataFrame:
     import numpy as np
 
     known = df.select(*features).dropna()
-    row = known.agg(*[F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i < j]).first()
+    row = known.agg(*[correlation(F.col(a), F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i < j]).first()
     m = np.eye(len(features))
     for i in range(len(features)):
         for j in range(i + 1, len(features)):

@@ -88,3 +88,19 @@ def flatten_facts(docs: DataFrame, tags: dict[str, list[str]], forms: tuple[str,
     accepted = F.min_by("_first", "_seen") if compat_first_seen else F.max("filed")
     when = each.groupBy("ticker", "fiscal_period_end", "form_type").agg(accepted.alias("sec_acceptance_date"), *[F.max(F.when(F.col("metric") == m, F.col("val"))).alias(m) for m in tags])
     return when
+
+
+def data_pipeline(constituents: DataFrame, changes: DataFrame, wide_prices: DataFrame, docs: DataFrame, series: DataFrame, start: str, end: str) -> dict[str, DataFrame]:
+    """The data stages by name, lazily: universe (members at month ends), prices (long, of names that were ever
+    members), fundamentals (the best row of each period and form), macro (a column for each series, filled forward)."""
+    from .features import long_prices, series_panel
+
+    members = membership(constituents, changes, start, end)
+    ever = members.select("ticker").distinct()
+    facts = flatten_facts(docs.join(ever, "ticker", "left_semi"), TAGS)
+    names = sorted(r[0] for r in series.select("series").distinct().collect())  # one for each macro series
+    return {
+        "universe": members, "prices": long_prices(wide_prices).join(ever, "ticker", "left_semi"),
+        "fundamentals": best_rows(facts, list(TAGS), ["ticker", "fiscal_period_end", "form_type"], ["sec_acceptance_date"]),
+        "macro": series_panel(series, names),
+    }

@@ -331,3 +331,33 @@ for _name, _columns in {
     "amihud": ["amihud"], "obv": ["obv", "obv_zscore"], "ma_gap": ["ma_gap_50d", "ma_gap_200d"], "rsi_simple": ["rsi_14"], "bollinger_pctb": ["bb_pctb"],
 }.items():
     ORACLES[_name] = sql(f"SELECT date, ticker, {_r(*_columns)} FROM feat", "feat")
+
+
+_RANK = "(rank() OVER (PARTITION BY date ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2.0::DOUBLE)"
+_IC = """SELECT date, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS ic, count(*) AS n
+    FROM (SELECT date, {a} AS a, {b} AS b FROM (SELECT date, {x} AS x, {y} AS y FROM xs) WHERE x IS NOT NULL AND y IS NOT NULL) GROUP BY date"""
+_ranked = lambda x, y: _IC.format(a=_RANK.format(x="x"), b=_RANK.format(x="y"), x=x, y=y)
+ORACLES["information_coefficient"] = sql(f"SELECT date, round(ic, 6) + 0.0 AS ic, n FROM ({_ranked('round(px, -2)', 'qty')})", "xs")
+ORACLES["coefficient_summary"] = sql(f"SELECT dates, {_r('mean', 'std', 'ratio', 'positive')} FROM (SELECT count(ic) AS dates, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / nullif(stddev_samp(ic), 0) AS ratio, avg(CAST(ic > 0 AS DOUBLE)) AS positive FROM ({_ranked('round(disc, 9)', 'qty')}))", "xs")
+ORACLES["sweep_heatmap"] = sql("SELECT round(least, 6) + 0.0 AS least, round(max(sharpe) FILTER (cap = 0.02), 6) + 0.0 AS cap_2, round(max(sharpe) FILTER (cap = 0.05), 6) + 0.0 AS cap_5 FROM swept GROUP BY least", "swept")
+ORACLES["roc_points"] = sql("""SELECT round(prob, 6) + 0.0 AS threshold, round(sum(t) OVER w / sum(t) OVER (), 6) + 0.0 AS tpr, round(sum(f) OVER w / sum(f) OVER (), 6) + 0.0 AS fpr
+    FROM (SELECT prob, CAST(sum(label) AS DOUBLE) AS t, CAST(sum(1 - label) AS DOUBLE) AS f FROM bet GROUP BY prob) WINDOW w AS (ORDER BY prob DESC)""", "bet")
+ORACLES["stratified_dummy"] = sql("SELECT round(r, 6) + 0.0 AS rate, round(r * r + (1 - r) * (1 - r), 6) + 0.0 AS accuracy, round(2 * r * (1 - r), 6) + 0.0 AS brier FROM (SELECT avg(label) AS r FROM bet)", "bet")
+ORACLES["valuation_ratios"] = sql(f"SELECT filing, {_r('eps', 'price_earnings', 'price_book', 'price_sales')} FROM (SELECT filing, net_income / nullif(total_assets / 100.0::DOUBLE, 0) AS eps, 20.0::DOUBLE * total_assets / 100.0::DOUBLE / nullif(net_income, 0) AS price_earnings, 20.0::DOUBLE * total_assets / 100.0::DOUBLE / nullif(stockholders_equity, 0) AS price_book, 20.0::DOUBLE * total_assets / 100.0::DOUBLE / nullif(revenue, 0) AS price_sales FROM filing)", "filing")
+
+_DF = """SELECT ticker, CASE WHEN count(*) >= 4 THEN regr_slope(d, l) / nullif(sqrt(greatest(regr_syy(d, l) * (1 - regr_r2(d, l)), 0.0) / nullif((count(*) - 2) * regr_sxx(d, l), 0)), 0) END AS statistic, count(*) AS n
+    FROM (SELECT ticker, l, x - l AS d FROM (SELECT ticker, x, lag(x) OVER (PARTITION BY ticker ORDER BY date) AS l FROM ({series}) WHERE x IS NOT NULL) WHERE l IS NOT NULL) GROUP BY ticker"""
+
+
+def _differenced(d: float) -> str:
+    weights = [1.0]
+    while abs(w := -weights[-1] * (d - len(weights) + 1) / len(weights)) >= 1e-2:
+        weights.append(w)
+    return f"""SELECT date, ticker, CASE WHEN len(h) = {len(weights)} THEN list_dot_product(h, {weights[::-1]}::DOUBLE[]) END AS x
+        FROM (SELECT date, ticker, list(ln(p)) OVER (PARTITION BY ticker ORDER BY date ROWS {len(weights) - 1} PRECEDING) AS h FROM price)"""
+
+
+ORACLES["dickey_fuller"] = sql("SELECT ticker, round(statistic, 6) + 0.0 AS statistic, n FROM (" + _DF.format(series="SELECT date, ticker, ln(p) AS x FROM price") + ")", "price")
+ORACLES["least_order"] = sql("SELECT ticker, d, round(statistic, 6) + 0.0 AS statistic FROM (SELECT DISTINCT ticker FROM price) LEFT JOIN (SELECT ticker, min(d) AS d, arg_min(statistic, d) AS statistic FROM (" + " UNION ALL ".join(f"SELECT ticker, {d}::DOUBLE AS d, statistic FROM ({_DF.format(series=_differenced(d))})" for d in (0.0, 0.2, 0.4)) + ") WHERE statistic < -2.8615 GROUP BY ticker) USING (ticker)", "price")
+ORACLES["except_all"] = "SELECT k, 'all' AS part FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'distinct' FROM (SELECT c_nationkey AS k FROM customer WHERE c_nationkey % 2 = 0 EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey % 3 = 0)"
+ORACLES["html_tables"] = "SELECT n_regionkey, n_name || ' & co' AS name, CAST(n_nationkey AS VARCHAR) AS id FROM nation"

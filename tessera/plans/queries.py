@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import load_config
 from ..functions.rolling import ewm_mean, lagged, pct_rank
-from ..operators import asof, backtest, features, labels, modeling, portfolio, reports, splits, universe
-from ..sources import panels
+from ..operators import asof, backtest, features, labels, modeling, portfolio, reports, splits, studies, universe
+from ..sources import html, panels
 from ..sources.stages import kept
 
 CFG = load_config()
@@ -635,6 +635,79 @@ def pca_study(spark, d):
     return reports.principal_components(_technical(spark, d, REPORTED), REPORTED)
 
 
+# --- studies ---
+
+
+@query
+def information_coefficient(spark, d):
+    return studies.information_coefficient(panels.cross_section(spark, d).withColumn("px", F.round("px", -2)), "px", "qty")
+
+
+@query
+def coefficient_summary(spark, d):
+    """Averages are rounded first: their last digits, and so ties between them, hang on the order of addition."""
+    return studies.coefficient_summary(studies.information_coefficient(panels.cross_section(spark, d).withColumn("disc", F.round("disc", 9)), "disc", "qty"))
+
+
+@query
+def sweep_heatmap(spark, d):
+    wide = studies.heatmap(_sweep(spark, d), "least", "cap", [0.02, 0.05], "sharpe")
+    return wide.select("least", F.col("`0.02`").alias("cap_2"), F.col("`0.05`").alias("cap_5"))
+
+
+@query
+def roc_points(spark, d):
+    return studies.roc_points(panels.bets(spark, d), "prob", "label")
+
+
+@query
+def stratified_dummy(spark, d):
+    return studies.stratified_dummy(panels.bets(spark, d), "label")
+
+
+@query
+def valuation_ratios(spark, d):
+    f = panels.filings(spark, d).withColumns({"price": F.lit(20.0), "shares": F.col("total_assets") / 100})
+    return studies.valuation(f, "price", "shares").select("filing", "eps", "price_earnings", "price_book", "price_sales")
+
+
+def _log_prices(spark, d):
+    return panels.prices(spark, d).select("date", "ticker", F.log("adj_close").alias("x"))
+
+
+@query
+def dickey_fuller(spark, d):
+    return studies.dickey_fuller(_log_prices(spark, d), "x")
+
+
+@query
+def least_order(spark, d):
+    return studies.least_order(kept(_log_prices(spark, d), "log-prices"), "x", (0.0, 0.2, 0.4), tolerance=1e-2)
+
+
+@query
+def except_all(spark, d):
+    """Nations of customers less those of suppliers, each as often as it occurs more, and distinct ones."""
+    a = panels.table(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
+    b = panels.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return a.exceptAll(b).withColumn("part", F.lit("all")).union(a.filter("k % 2 = 0").subtract(b.filter("k % 3 = 0")).withColumn("part", F.lit("distinct")))
+
+
+@query
+def html_tables(spark, d):
+    """A page for each region with a table of its nations, read back."""
+    n = panels.table(spark, d, "nation")
+    line = F.concat(F.lit("<tr><td>"), F.col("n_nationkey"), F.lit("<td><b>"), F.col("n_name"), F.lit("</b> &amp; co</td></tr>"))
+    page = F.concat(F.lit("<p>x</p><table><tr><th>Key</th><th>Name</th></tr>"), F.array_join(F.array_sort(F.collect_list(line)), ""), F.lit("</table>"))
+    rows = html.html_tables(n.groupBy("n_regionkey").agg(page.alias("page")), "n_regionkey", "page")
+    return html.named_cells(rows, 0, {"name": "Name", "id": "Key"}, "n_regionkey").drop("row")
+
+
+@query
+def pca_loadings(spark, d):
+    return studies.loadings(_technical(spark, d, REPORTED), REPORTED)
+
+
 # --- models (no SQL counterpart) ---
 
 
@@ -681,3 +754,37 @@ def tree_shap(spark, d):
 def fractional_difference(spark, d):
     p = panels.prices(spark, d).select("date", "ticker", F.log("adj_close").alias("x"))
     return modeling.fractional_difference(p, "x", 0.4, "fd", 1e-2)
+
+
+@query
+def cpcv_grid_search(spark, d):
+    return studies.grid_search(_model_rows(spark, d), REPORTED, CFG, {"depth": [2, 4], "rounds": [5]})
+
+
+@query
+def model_comparison(spark, d):
+    split = kept(splits.three_way(kept(_model_rows(spark, d), "rows")), "split")
+    return studies.compare_models(split.filter("part = 'train'"), split.filter("part = 'test'"), REPORTED)
+
+
+@query
+def out_of_fold_calls(spark, d):
+    return studies.out_of_fold(_model_rows(spark, d), REPORTED).select("ticker", "date", "oof_fold", "call", "label_binary")
+
+
+@query
+def pca_features(spark, d):
+    cfg = CFG | {"features": CFG["features"] | {"components": 3}}
+    return studies.pca_features(_technical(spark, d, REPORTED), REPORTED, cfg).select("date", "ticker", "components")
+
+
+@query
+def sweep_replay(spark, d):
+    """90 settings of bets and portfolios over momentum's decisions at month ends, through the replay."""
+    prices = kept(panels.prices(spark, d), "prices")
+    tech = features.technical(prices, CFG)
+    exposed = features.exposures(tech, prices).select("date", "ticker", F.col("log_market_cap").alias("size"), "beta")
+    ranked = tech.filter(labels.month_ends(F.col("date")) & F.col("ret_21d").isNotNull()).withColumn("probability", pct_rank("ret_21d", "date"))
+    entries = ranked.select("date", "ticker", "probability", F.when(F.col("ret_21d") > 0, 1).otherwise(-1).alias("direction"))
+    decisions = entries.join(prices.select("date", "ticker", "sector"), ["date", "ticker"]).join(exposed, ["date", "ticker"])
+    return studies.sweep(decisions, prices, CFG, ["meta_prob", "half_kelly", "equal"], [0.1, 0.3, 0.5, 0.7, 0.9], list(portfolio.LEGS), [0.05, 0.5])
